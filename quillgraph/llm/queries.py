@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash, packing, quality
+from . import bpe, chat, decontaminate, exact_dedup, htmltext, minhash, packing, quality, rollups, secretscan, urlfilter
+from .common import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a batch that inserts all documents and its second delivery."""
+    rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    changes = rollups.counted(table(spark, sf_dir, "documents"), bpe.default_path())
+    rollup.apply("documents", changes)
+    rollup.apply("documents", changes)
+    return rollup.totals()
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), bpe.default_path()))
 
@@ -25,6 +42,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,7 +54,22 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_quality_classifier, op5_minhash_near_dedup, op7_benchmark_decontamination, op8_exact_dedup)}
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.verdicts(pages, urlfilter.labelled_pages(pages, table(spark, sf_dir, "labels")))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose texts look like the template's marks."""
+    tricky = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), tricky.alias("text"))
+    return chat.digests(chat.formatted(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_secret_scans, op2_best_fit_packing, op3_token_counts, op4_quality_classifier, op5_minhash_near_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_exact_dedup, op9_url_filters, op10_chat_formatting)
+}
 
 ORACLE_SQL = {
     "op7_benchmark_decontamination": r"""
