@@ -6,10 +6,14 @@ noise that collisions add to df / N is the mean number of shingles a text over 2
 size of the corpus and neither do the weights' range and the rule.
 
 `HASHES` consistent weighted samples (Ioffe 2010) a text are cut into bands of `ROWS`; texts that share a band fall
-into a bucket. In each bucket every member is held against one leader by exact weighted Jaccard similarity; those that
-don't reach it stay and get the next leader, until no bucket holds two texts without an answer. So a bucket costs its
-size times its number of groups, never all pairs, and no partner is capped. Links join into classes by repeated
-minimum labels. A link at the threshold of 0.8 shares a band with probability above 0.9998, one at 0.9 above 1 - 1e-6.
+into a bucket. First every member of a bucket is held against one leader, twice with different leaders; what is linked
+joins into classes by repeated minimum labels. From then on only buckets that hold several classes count, and only
+pairs across classes: all of them in a bucket of at most `BUCKET` members; a larger one is first divided by a second shared
+band, and again, since alike texts share many bands and texts that share one passage few. What is still large after that goes on
+with leaders until no two members of different classes are without an answer. A pair is answered
+by its samples where they agree too seldom (`AGREE`), else by the exact weighted Jaccard similarity of its texts.
+No partner or bucket is capped. A link at the threshold of 0.8 shares a band with probability above 0.9999; in a bucket
+over `BUCKET` that isn't one class by then it shares two with probability 0.9998.
 
 Texts of equal word sequences are folded first, so copies cost one row; they are of one class by definition. Texts
 without any word are of one class if they are identical.
@@ -26,13 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, slices, text_buffers, written
+from .common import slices, text_buffers, written
 from .wordhash import gram_rows, grams, mix, words_of
 
-SHINGLE, HASHES, ROWS, THRESHOLD = 5, 36, 3, 0.8
+SHINGLE, HASHES, ROWS, THRESHOLD = 5, 48, 3, 0.8
+#: Samples that must agree before two texts are compared; of a pair at the threshold fewer do with probability 2e-6.
+AGREE, BUCKET = 24, 64
 COUNTERS = 1 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, (HASHES, 3), np.uint32)
 
@@ -165,22 +171,14 @@ def samples(shingles: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.
 def _sketch(idf):
     def run(batches):
         table = idf.value
-        bands = HASHES // ROWS
         for batch in batches:
             ids, (data, offsets) = batch.column(0), text_buffers(batch.column(1))
             for a, b in slices(offsets, 1 << 17):  # arrays that stay in the processor's cache
                 shingles, counts, first, keys = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                full = np.flatnonzero(np.diff(first) > 0)
-                hashed = np.zeros((b - a, bands), np.uint64)
-                if len(full):
-                    sig = samples(shingles, counts * table[counter_of(shingles)], first[full]).astype(np.uint64)
-                    value = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(full), bands)).copy()
-                    for j in range(ROWS):
-                        value = mix(value ^ sig[:, j::ROWS])
-                    hashed[full] = value
-                has = np.diff(first) > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))).astype(np.int32)), pa.array(hashed[has].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), lists], ["doc_id", "words_key", "bands"])
+                full = np.diff(first) > 0
+                sig = samples(shingles, counts * table[counter_of(shingles)], first[:-1][full]) if full.any() else np.empty((0, HASHES), np.uint32)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * HASHES))).astype(np.int32)), pa.array(np.ascontiguousarray(sig).ravel().view(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), lists], ["doc_id", "words_key", "samples"])
 
     return run
 
@@ -227,40 +225,100 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(rows: DataFrame, members: DataFrame, idf, threshold: float) -> DataFrame:
-    """Verified (a, b) of the buckets' members (bucket, node)."""
-    found, pool = [], members
-    tested = None
-    while True:
-        lead = pool.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n >= 2").select("bucket", "lead")
-        pool = written(pool.join(lead, "bucket").where("node <> lead"), "pool")
-        pairs = pool.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = rows.where("text <> ''").join(wanted, "doc_id", "left_semi")
-            texts = written(texts, "texts")
-            sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            found.append(written(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(idf, threshold), "a long, b long").distinct(), "verified"))
-        elif pool.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not found:
-            pool = pool.select("bucket", "node")
-            continue
-        linked = found[0]
-        for more in found[1:]:
-            linked = linked.unionByName(more)
-        pool = pool.select("bucket", "node", F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).join(linked, ["a", "b"], "left_anti").select("bucket", "node")
-    spark = rows.sparkSession
-    if not found:
-        return spark.createDataFrame([], "a long, b long")
-    linked = found[0]
-    for more in found[1:]:
-        linked = linked.unionByName(more)
-    return linked
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+class _Linker:
+    """Finds the links of the buckets' members (bucket, node) and keeps what has been answered."""
+
+    def __init__(self, rows: DataFrame, texts: DataFrame, members: DataFrame, idf, threshold: float):
+        self.rows, self.texts, self.members, self.idf, self.threshold = rows, texts, members, idf, threshold
+        none = rows.sparkSession.createDataFrame([], "a long, b long")
+        self.answered, self.found, self.labels = [none], [none], none.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+    def links(self) -> DataFrame:
+        return _union(self.found)
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """members of buckets that hold several classes, with their class."""
+        named = members.join(self.labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("bucket", "size")
+        return named.join(mixed, "bucket")
+
+    def answer(self, pairs: DataFrame) -> int:
+        """Links those of pairs (a < b) that are alike; the number of pairs that had no answer yet."""
+        pairs = written(pairs.distinct().join(_union(self.answered), ["a", "b"], "left_anti"), "pairs")
+        count = pairs.count()
+        if not count:
+            return 0
+        self.answered.append(pairs)
+        side = self.texts.select("node", "samples")
+        both = pairs.join(side.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("samples").alias("y")), "b")
+        agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
+        near = written(both.where(agree >= AGREE).select("a", "b"), "near")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = written(self.rows.join(wanted, "doc_id", "left_semi"), "texts")
+        sides = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        self.found.append(written(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.idf, self.threshold), "a long, b long").distinct(), "verified"))
+        self.labels = connected(self.links())
+        return count
+
+    def star(self, members: DataFrame, seed: int) -> int:
+        """Each member of a bucket against one leader of another class."""
+        named = written(self.labelled(members), "mixed")
+        lead = named.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(seed), "bucket", "node")).alias("lead"))
+        met = named.join(lead, "bucket").where("label <> lead.label")
+        return self.answer(met.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")))
+
+    def across(self, members: DataFrame) -> int:
+        """All pairs across classes in buckets of at most BUCKET members."""
+        small = self.labelled(members).where(F.col("size") <= BUCKET)
+        packed = small.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("own"))
+        # Within the row: each member against the later ones of other classes.
+        first = packed.select("own", F.posexplode("own").alias("k", "one"))
+        pairs = first.select("one", F.explode(F.filter(F.slice("own", F.col("k") + 2, F.size("own")), lambda o: o["label"] != F.col("one.label"))).alias("other"))
+        return self.answer(pairs.select(F.col("one.node").alias("a"), F.col("other.node").alias("b")))
+
+    def divided(self, members: DataFrame, level: int) -> DataFrame:
+        """Members of large buckets, by that bucket and another that they share."""
+        large = written(self.labelled(members).where(F.col("size") > BUCKET).select("bucket", "node"), "large")
+        other = self.members.select("node", F.col("bucket").alias("second"))
+        finer = large.join(other, "node").where("bucket <> second").select(F.xxhash64(F.lit(level), "bucket", "second").alias("bucket"), "node").distinct()
+        return written(finer, "divided")
+
+    def run(self) -> DataFrame:
+        for seed in (1, 2):
+            if not self.star(self.members, seed):
+                break
+        members = self.members
+        for level in range(3):
+            self.across(members)
+            large = self.labelled(members).where(F.col("size") > BUCKET)
+            if large.isEmpty():
+                return self.links()
+            members = self.divided(members, level)
+        self.across(members)
+        seed = 3
+        while self.star_or_done(members, seed):
+            seed += 1
+        return self.links()
+
+    def star_or_done(self, members: DataFrame, seed: int) -> bool:
+        """What three divisions leave large: members in turn against all of other classes, more at each turn."""
+        named = written(self.labelled(members).where(F.col("size") > BUCKET), "left")
+        if named.isEmpty():
+            return False
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(0), "bucket", "node"), "node")
+        turns = named.withColumn("turn", F.row_number().over(order))
+        last = 1 << min(seed, 30)
+        leads = turns.where((F.col("turn") <= last) & (F.col("turn") > last // 2 * (seed > 3))).select("bucket", F.col("node").alias("lead"), F.col("label").alias("lead_label"))
+        met = named.join(leads, "bucket").where("label <> lead_label")
+        self.answer(met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+        return not turns.where(F.col("turn") > last).isEmpty()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -269,12 +327,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = rows.where("doc_id is not null")
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(rows.select("text")))
-    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, bands array<long>"), "sketches")
-    texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    spread = texts.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct()
+    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<int>"), "sketches")
+    texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")), "nodes")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.slice("samples", j * ROWS + 1, ROWS)))
+    spread = texts.where(F.size("samples") > 0).select(F.explode(F.array_distinct(bands)).alias("bucket"), "node")
     full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("bucket")
     members = written(spread.join(full, "bucket"), "members")
-    linked = _links(named, members, idf, threshold)
+    linked = _Linker(named, texts, members, idf, threshold).run()
     # A document with several texts links them.
     same = sketches.join(texts.select("words_key", "node"), "words_key").where("doc_id <> node").select("doc_id", "node").join(texts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     labels = connected(linked.unionByName(same))
@@ -288,4 +347,4 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose document stays, one document of each class, with their columns."""
     gone = written(classes(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("q_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("q_gone"), "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone["q_gone"], "left_anti")
