@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +18,8 @@ import regex
 
 from .wordhash import _BASE, _BASE_INV, mix
 
-CACHE, SLOTS, PROBES = 1_000_000, 1 << 21, 6
+CACHE, SLOTS, PROBES = 250_000, 1 << 20, 6
+SLICE = 1 << 18
 SIMPLE = 0x250
 _VALUE = np.random.default_rng(2).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _KIND = np.zeros(SIMPLE, np.uint8)
@@ -57,15 +59,19 @@ def piece_encoder(path: str):
 
 class Encoder:
     def __init__(self, path: str):
+        self.path, self.by_rank = path, piece_encoder(path)
+        self.forget()
+
+    @cached_property
+    def library(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.by_rank = Tokenizer.from_file(path), piece_encoder(path)
-        self.forget()
+        return Tokenizer.from_file(self.path)
 
     def forget(self) -> None:
         self.keys, self.values = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32)
-        self.ids, self.first, self.known = np.empty(1 << 20, np.uint32), np.zeros(CACHE + 1, np.int64), 0
+        self.ids, self.first, self.known = np.empty(1 << 19, np.uint32), np.zeros(CACHE + (1 << 17), np.int64), 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -184,7 +190,7 @@ _pow: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _pow or len(_pow["up"]) < n:
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(max(n, (1 << 20) + 1), base, np.uint64)
+            steps = np.full(max(n, SLICE + 1), base, np.uint64)
             steps[0] = 1
             _pow[name] = np.cumprod(steps, dtype=np.uint64)
     return _pow["up"], _pow["down"]

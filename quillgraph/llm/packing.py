@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import SLICE, encoder
 from .common import slices, text_buffers, written
 
 SEQUENCE, END_ID, OPEN_BINS, TASK_ROWS, MOST_TASKS = 2048, 0, 4096, 8192, 8192
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, id_col: st
         encode = encoder(tokenizer).encode
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 ids, first = encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 row, piece, start, length, crc = [], [], [], [], []
                 for r in range(b - a):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import SLICE, encoder
 from .common import slices, text_buffers
 from .wordhash import words_of
 
@@ -38,7 +38,7 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
             words, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 words.append(words_of(part, own).counts())
                 ids.append(np.diff(encode(part, own)[1]))
