@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import relational, texts
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+QUERIES = relational.QUERIES | texts.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | texts.ORACLE_SQL
+flagship = relational.flagship
