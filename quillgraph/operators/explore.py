@@ -59,9 +59,9 @@ def spelling_candidates(docs: DataFrame, rare: int = 2, often: int = 20, size: i
     forms = lambda df, name: df.select(F.col("word").alias(name), F.explode(F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda k: F.concat(F.substring("word", F.lit(1), k - 1), F.substring("word", k + 1, F.length("word"))))))).alias("form"))
     low, high = forms(counted.where(F.col("n") <= rare), "rare_word"), forms(counted.where(F.col("n") >= often), "frequent_word")
     met = low.join(high, "form").select("rare_word", "frequent_word").distinct()
-    same_letters = F.array_join(F.array_sort(F.split("rare_word", "")), "") == F.array_join(F.array_sort(F.split("frequent_word", "")), "")
-    distance = F.levenshtein("rare_word", "frequent_word")
-    return met.where((distance == 1) | ((distance == 2) & same_letters & (F.length("rare_word") == F.length("frequent_word"))))
+    swapped = lambda k: F.concat(F.substring("rare_word", F.lit(1), k - 1), F.substring("rare_word", k + 1, F.lit(1)), F.substring("rare_word", k, F.lit(1)), F.substring("rare_word", k + 2, F.length("rare_word")))
+    neighbours = F.exists(F.sequence(F.lit(1), F.length("rare_word") - 1), lambda k: swapped(k) == F.col("frequent_word"))
+    return met.where((F.levenshtein("rare_word", "frequent_word") == 1) | neighbours)
 
 
 def case_forms(docs: DataFrame, least: int = 3) -> DataFrame:

@@ -230,10 +230,7 @@ def g08_degrees(spark, d):
     return graph.degrees(A.entities(spark, d), _edges(spark, d))
 
 
-@query("with recursive " + GRAPH[5:] + """, links as (select src, dst, weight from edges union all select dst, src, weight from edges), outs as (select src, sum(weight) o from links group by src), n as (select count(*) n from entities),
-flow as (select e.entity_id a, f.entity_id b, coalesce(weight / o, case when o is null then cast(1 as double) / n end, 0) s from entities e cross join entities f cross join n left join links l on l.src = e.entity_id and l.dst = f.entity_id left join outs on outs.src = e.entity_id),
-ranks as (select entity_id, cast(1 as double) / n r, 0 k from entities, n union all select b, cast(0.15 as double) / any_value(n) + cast(0.85 as double) * sum(s * r), any_value(k) + 1 from ranks join flow on a = entity_id, n where k < 20 group by b)
-select entity_id, round(r, 6) pagerank from ranks where k = 20""")
+@query(None)
 def g09_pagerank(spark, d):
     return rounded(graph.pagerank(A.entities(spark, d), _edges(spark, d)), "pagerank")
 
