@@ -52,7 +52,8 @@ def _maybe_repeated(rows: DataFrame, text, bitmap: DataFrame, bits: int) -> Data
         rows = rows.join(F.broadcast(here), F.expr(f"bitmap_bucket_number(q_slot{k}) = q_bucket{k}"), "left")
         place = F.expr(f"cast(bitmap_bit_position(q_slot{k}) as int)")
         byte = F.conv(F.hex(F.substring(f"q_map{k}", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hits.append(F.coalesce(F.expr("1") == (byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(q_slot{k}) % 8 as int))")) > 0).cast("int"), F.lit(False)))
+        bit = F.expr(f"shiftleft(1, cast(bitmap_bit_position(q_slot{k}) % 8 as int))")
+        hits.append(F.coalesce(byte.bitwiseAND(bit) > 0, F.lit(False)))
     maybe = hits[0]
     for hit in hits[1:]:
         maybe = maybe & hit
