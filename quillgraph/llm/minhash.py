@@ -6,14 +6,12 @@ noise that collisions add to df / N is the mean number of shingles a text over 2
 size of the corpus and neither do the weights' range and the rule.
 
 `HASHES` consistent weighted samples (Ioffe 2010) a text are cut into bands of `ROWS`; texts that share a band fall
-into a bucket. First every member of a bucket is held against one leader, twice with different leaders; what is linked
-joins into classes by repeated minimum labels. From then on only buckets that hold several classes count, and only
-pairs across classes: all of them in a bucket of at most `BUCKET` members; a larger one is first divided by a second shared
-band, and again, since alike texts share many bands and texts that share one passage few. What is still large after that goes on
-with leaders until no two members of different classes are without an answer. A pair is answered
-by its samples where they agree too seldom (`AGREE`), else by the exact weighted Jaccard similarity of its texts.
-No partner or bucket is capped. A link at the threshold of 0.8 shares a band with probability above 0.9999; in a bucket
-over `BUCKET` that isn't one class by then it shares two with probability 0.9998.
+into a bucket. Twice, every member of a bucket is held against one leader of another class, the one whose buckets hold most
+texts (what a group of copies was made from), and links join into classes by repeated minimum labels. After that only
+buckets that hold several classes count, and in them only pairs across classes: each is answered, in blocks of at most
+about 2 x `BLOCK` members, by the samples where they agree too seldom (`AGREE`) and else by the exact weighted Jaccard similarity of
+the texts; a pair that shares several bands is answered in the first. No partner or bucket is capped, and no pair of a
+group that is one class is made. A link at the threshold of 0.8 shares a band with probability above 0.9999.
 
 Texts of equal word sequences are folded first, so copies cost one row; they are of one class by definition. Texts
 without any word are of one class if they are identical.
@@ -30,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers, written
 from .wordhash import gram_rows, grams, mix, words_of
 
-SHINGLE, HASHES, ROWS, THRESHOLD = 5, 48, 3, 0.8
-#: Samples that must agree before two texts are compared; of a pair at the threshold fewer do with probability 2e-6.
-AGREE, BUCKET = 24, 64
+SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
+#: Samples that must agree before two texts are compared; of a pair at the threshold fewer do with probability 1e-4.
+AGREE, BLOCK = 50, 256
 COUNTERS = 1 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, (HASHES, 3), np.uint32)
 
@@ -233,92 +231,106 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 class _Linker:
-    """Finds the links of the buckets' members (bucket, node) and keeps what has been answered."""
+    """Finds the links of the buckets' members (band, bucket, node) and keeps what has been answered."""
 
     def __init__(self, rows: DataFrame, texts: DataFrame, members: DataFrame, idf, threshold: float):
-        self.rows, self.texts, self.members, self.idf, self.threshold = rows, texts, members, idf, threshold
+        self.rows, self.texts, self.idf, self.threshold = rows, texts, idf, threshold
         none = rows.sparkSession.createDataFrame([], "a long, b long")
-        self.answered, self.found, self.labels = [none], [none], none.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        self.found, self.labels = [none], none.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+        weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
+        self.members = written(members.join(weights, "node"), "weighted")
 
     def links(self) -> DataFrame:
         return _union(self.found)
 
-    def labelled(self, members: DataFrame) -> DataFrame:
-        """members of buckets that hold several classes, with their class."""
-        named = members.join(self.labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("bucket", "size")
-        return named.join(mixed, "bucket")
-
-    def answer(self, pairs: DataFrame) -> int:
-        """Links those of pairs (a < b) that are alike; the number of pairs that had no answer yet."""
-        pairs = written(pairs.distinct().join(_union(self.answered), ["a", "b"], "left_anti"), "pairs")
-        count = pairs.count()
-        if not count:
-            return 0
-        self.answered.append(pairs)
+    def mixed(self) -> DataFrame:
+        """Members of buckets that hold several classes, with their class and the bucket's size."""
+        named = self.members.join(self.labels, "node", "left").select("band", "bucket", "node", "weight", F.coalesce("label", "node").alias("label"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("bucket", "size")
+        return written(named.join(several, "bucket"), "mixed")
+
+    def link(self, more: DataFrame) -> None:
+        self.found.append(written(more, "linked"))
+        self.labels = connected(self.links())
+
+    def star(self, again: bool) -> None:
+        """Each bucket's members against one leader of another class; again: a leader outside the bucket's largest class."""
+        named = self.mixed()
+        able = named
+        if again:
+            counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+            largest = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+            able = named.join(largest, "bucket").where("label <> largest")
+        lead = able.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("weight", F.xxhash64("node"))).alias("lead"))
+        met = named.join(lead, "bucket").where("label <> lead.label")
+        pairs = met.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
         side = self.texts.select("node", "samples")
         both = pairs.join(side.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("samples").alias("y")), "b")
         agree = F.size(F.filter(F.zip_with("x", "y", lambda p, q: p == q), lambda same: same))
         near = written(both.where(agree >= AGREE).select("a", "b"), "near")
-        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = written(self.rows.join(wanted, "doc_id", "left_semi"), "texts")
-        sides = near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        self.found.append(written(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.idf, self.threshold), "a long, b long").distinct(), "verified"))
-        self.labels = connected(self.links())
-        return count
-
-    def star(self, members: DataFrame, seed: int) -> int:
-        """Each member of a bucket against one leader of another class."""
-        named = written(self.labelled(members), "mixed")
-        lead = named.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(seed), "bucket", "node")).alias("lead"))
-        met = named.join(lead, "bucket").where("label <> lead.label")
-        return self.answer(met.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")))
-
-    def across(self, members: DataFrame) -> int:
-        """All pairs across classes in buckets of at most BUCKET members."""
-        small = self.labelled(members).where(F.col("size") <= BUCKET)
-        packed = small.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("own"))
-        # Within the row: each member against the later ones of other classes.
-        first = packed.select("own", F.posexplode("own").alias("k", "one"))
-        pairs = first.select("one", F.explode(F.filter(F.slice("own", F.col("k") + 2, F.size("own")), lambda o: o["label"] != F.col("one.label"))).alias("other"))
-        return self.answer(pairs.select(F.col("one.node").alias("a"), F.col("other.node").alias("b")))
-
-    def divided(self, members: DataFrame, level: int) -> DataFrame:
-        """Members of large buckets, by that bucket and another that they share."""
-        large = written(self.labelled(members).where(F.col("size") > BUCKET).select("bucket", "node"), "large")
-        other = self.members.select("node", F.col("bucket").alias("second"))
-        finer = large.join(other, "node").where("bucket <> second").select(F.xxhash64(F.lit(level), "bucket", "second").alias("bucket"), "node").distinct()
-        return written(finer, "divided")
+        texts = self.texts_of(near.select(F.explode(F.array("a", "b")).alias("node")))
+        sides = near.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        self.link(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.idf, self.threshold), "a long, b long").distinct())
+
+    def texts_of(self, nodes: DataFrame) -> DataFrame:
+        wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
+        return written(self.rows.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+
+    def across(self) -> None:
+        """All pairs across classes that share a bucket."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        placed = self.mixed().select("band", "bucket", "node", "label", F.pmod(F.hash("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        parts = placed.select("band", "bucket", "node", "label", "block", (F.least("block", "other") * 65536 + F.greatest("block", "other")).alias("part"))
+        held = parts.join(self.texts.select("node", "samples"), "node")
+        near = written(held.groupBy("bucket", "part").applyInArrow(_near, "bucket long, part int, node long"), "near")
+        texts = self.texts_of(near)
+        full = parts.join(near, ["bucket", "part", "node"]).join(self.texts.select("node", "samples"), "node").join(texts, "node")
+        self.link(full.groupBy("bucket", "part").applyInArrow(_verify_block(self.idf, self.threshold), "a long, b long").distinct())
 
     def run(self) -> DataFrame:
-        for seed in (1, 2):
-            if not self.star(self.members, seed):
-                break
-        members = self.members
-        for level in range(3):
-            self.across(members)
-            large = self.labelled(members).where(F.col("size") > BUCKET)
-            if large.isEmpty():
-                return self.links()
-            members = self.divided(members, level)
-        self.across(members)
-        seed = 3
-        while self.star_or_done(members, seed):
-            seed += 1
+        self.star(False)
+        self.star(True)
+        self.across()
         return self.links()
 
-    def star_or_done(self, members: DataFrame, seed: int) -> bool:
-        """What three divisions leave large: members in turn against all of other classes, more at each turn."""
-        named = written(self.labelled(members).where(F.col("size") > BUCKET), "left")
-        if named.isEmpty():
-            return False
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(0), "bucket", "node"), "node")
-        turns = named.withColumn("turn", F.row_number().over(order))
-        last = 1 << min(seed, 30)
-        leads = turns.where((F.col("turn") <= last) & (F.col("turn") > last // 2 * (seed > 3))).select("bucket", F.col("node").alias("lead"), F.col("label").alias("lead_label"))
-        met = named.join(leads, "bucket").where("label <> lead_label")
-        self.answer(met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
-        return not turns.where(F.col("turn") > last).isEmpty()
+
+def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows across classes whose samples agree often, that share no earlier band and lie in this part's two blocks."""
+    part, band, n = table.column("part")[0].as_py(), table.column("band")[0].as_py(), table.num_rows
+    label, block = (table.column(c).to_numpy() for c in ("label", "block"))
+    sig = table.column("samples").combine_chunks().flatten().to_numpy().reshape(n, HASHES)
+    left, right = [], []
+    for k in range(n - 1):
+        agree = sig[k + 1 :] == sig[k]
+        fine = (label[k + 1 :] != label[k]) & (agree.sum(1) >= AGREE)
+        if part >> 16 != part & 65535:
+            fine &= block[k + 1 :] != block[k]
+        at = np.flatnonzero(fine)
+        if band and len(at):
+            at = at[~agree[at, : band * ROWS].reshape(len(at), band, ROWS).all(2).any(1)]
+        left.append(np.full(len(at), k))
+        right.append(at + k + 1)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _near(table: pa.Table) -> pa.Table:
+    at = np.unique(np.concatenate(_candidates(table)))
+    return table.take(pa.array(at)).select(["bucket", "part", "node"])
+
+
+def _verify_block(idf, threshold):
+    def run(table: pa.Table) -> pa.Table:
+        left, right = _candidates(table)
+        texts = table.column("text")
+        weighted = {k: _weighted(texts[k].as_py(), idf.value) for k in np.unique(np.concatenate((left, right))).tolist()}
+        alike = [weighted_jaccard(weighted[a], weighted[b]) >= threshold for a, b in zip(left.tolist(), right.tolist(), strict=True)]
+        node, keep = table.column("node").to_numpy(), np.array(alike, bool)
+        a, b = node[left[keep]], node[right[keep]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -330,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<int>"), "sketches")
     texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")), "nodes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.slice("samples", j * ROWS + 1, ROWS)))
-    spread = texts.where(F.size("samples") > 0).select(F.explode(F.array_distinct(bands)).alias("bucket"), "node")
+    spread = texts.where(F.size("samples") > 0).select(F.posexplode(bands).alias("band", "bucket"), "node")
     full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("bucket")
     members = written(spread.join(full, "bucket"), "members")
     linked = _Linker(named, texts, members, idf, threshold).run()
