@@ -36,7 +36,7 @@ from .wordhash import gram_rows, grams, mix, words_of
 
 SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
 #: Samples that must agree before two texts are compared; of a pair at the threshold fewer do with probability 1e-4.
-AGREE, BLOCK = 50, 256
+AGREE, BLOCK, TASK_LINKS = 50, 256, 200_000
 COUNTERS = 1 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, (HASHES, 3), np.uint32)
 
@@ -210,14 +210,17 @@ def _verify(idf, threshold):
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, label): the least node of its component, of all nodes of links (a, b); each round is written to the shared folder."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    """(node, label): the least node of its component, of all nodes of links (a, b); each round is written to the shared folder, in tasks of about TASK_LINKS links."""
+    links = written(links.select("a", "b").where("a <> b").distinct(), "links")
+    tasks = 1 + 2 * links.count() // TASK_LINKS
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")).coalesce(tasks), "labels")
     while True:
-        offered = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
+        offered = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer")).coalesce(tasks)
         least = labels.join(offered, "node").select("node", "label", F.least("label", "offer").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        after = written(least.join(jump, "new", "left").select("node", F.coalesce(F.least("new", "far"), "new").alias("label"), F.coalesce(F.least("new", "far") < F.col("label"), F.lit(False)).alias("moved")), "labels")
+        after = least.join(jump, "new", "left").select("node", F.coalesce(F.least("new", "far"), "new").alias("label"), F.coalesce(F.least("new", "far") < F.col("label"), F.lit(False)).alias("moved"))
+        after = written(after.coalesce(tasks), "labels")
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels
