@@ -11,8 +11,9 @@ Removed on every page, whatever the host: elements that declare themselves as so
 (nav, footer, aside, form, script, ...; header outside an article), by role or by a word of their class or id (ad, menu,
 sidebar, cookie, comments, ...), or hidden. If a page has an article (else: main) with text, only what is in it counts.
 
-Counting is by (host, path, text hash), summed before each shuffle, so a hot host is no hot task; the low branches join
-back by host as one array a host. Defined cases: null or empty html gives empty text; null urls have an empty host; text
+Counting is by (host, path, text hash), summed before each shuffle, so a hot host is no hot task. The low branches join
+back as one array a host: broadcast up to `broadcast_chars` characters, which is checked, so that pages aren't shuffled;
+beyond that by host and one of `SALTS` salts, so that a hot host's pages are dealt to many tasks. Defined cases: null or empty html gives empty text; null urls have an empty host; text
 outside any block is a block of its parent; repeated rows each get their answer; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -28,7 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 GAMMA, LEAST, MIN_PAGES, DEPTH = 0.9, 0.3, 8, 24
+BROADCAST_CHARS, SALTS = 8 << 20, 64
 # Elements and words by their role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -200,10 +204,19 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def with_low(rows: DataFrame, low: DataFrame, broadcast_chars: int) -> DataFrame:
+    """rows plus their host's low branches, null where it has none."""
+    chars = low.agg(F.coalesce(F.sum(F.length("host") + F.length(F.array_join("low", "/"))), F.lit(0)).alias("n")).first()["n"]
+    if chars <= broadcast_chars:
+        return rows.join(F.broadcast(low), "host", "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+
+
+def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = low_branches(style_tree(rows), least, min_pages)
+    low = written(low_branches(style_tree(rows), least, min_pages), "low-branches")
 
     def run(batches):
         for batch in batches:
@@ -211,4 +224,4 @@ def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return with_low(rows, low, broadcast_chars).select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -348,14 +348,15 @@ def test_html_declared_and_broken_markup():
     assert htmltext.main_text("<div hidden>a</div><div>b &nbsp; c</div>") == "b c"
 
 
-def test_style_tree_removes_repeated_branches(spark):
+@pytest.mark.parametrize("broadcast_chars", [htmltext.BROADCAST_CHARS, -1])
+def test_style_tree_removes_repeated_branches(spark, broadcast_chars):
     rows = [(k, f"https://h.example/{k}", f"<body><div class=x>Read our terms of use</div><div class=y>Text number {k} of many</div></body>") for k in range(12)]
     rows += [(100 + k, f"https://few.example/{k}", "<body><div class=x>Read our terms of use</div></body>") for k in range(3)] + [(200, None, None), (201, "x", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("low", F.lit(1)).withColumn("host", F.lit("z"))
-    got = {r["page_id"]: r["text"] for r in htmltext.extracted(pages).collect()}
-    assert all(got[k] == f"Text number {k} of many" for k in range(12))
+    got = {r["page_id"]: r["text"] for r in htmltext.extracted(pages, broadcast_chars=broadcast_chars).collect()}
+    assert len(got) == 17 and all(got[k] == f"Text number {k} of many" for k in range(12))
     assert got[100] == "Read our terms of use" and got[200] == got[201] == ""
-    assert htmltext.extracted(pages.limit(0)).collect() == []
+    assert htmltext.extracted(pages.limit(0), broadcast_chars=broadcast_chars).collect() == []
 
 
 # -- 7 ---------------------------------------------------------------------------------------------------------------
