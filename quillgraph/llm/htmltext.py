@@ -186,7 +186,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     on = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("width").alias("width"))
     # kind 0: 1 - mean of ln n_a / ln m over occurrences; kind 1: -sum p ln p / ln m = (ln m - nlogn / m) / ln m
     even = F.when(F.col("n") > 1, F.col("nlogn") / F.col("n") / F.log("n")).otherwise(0.0)
-    own = on.select("host", "path", "kind", "n", "width", (1 - even).alias("importance"))
+    # Read twice below; written, so that pages are parsed once for the tree.
+    own = written(on.select("host", "path", "kind", "n", "width", (1 - even).alias("importance")), "style-tree")
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     below = own.where("kind = 0").select("host", F.explode(above).alias("path"), "n", "importance").groupBy("host", "path").agg(F.max("n").alias("pages"), (F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"))
