@@ -4,12 +4,15 @@ Each page is parsed into a tree of block elements; a node's style is its tag, cl
 the root. The trees of one host are merged: a path holds how often each child sequence (presentation) and each text
 (content) occurs at it over the host's pages. A text found on n of m pages has entropy ln n / ln m there; a leaf's
 importance is 1 less the mean entropy of its texts. An inner node joins the entropy of its child sequences with the
-importance of what is below by 1 - GAMMA^children and GAMMA^children. On hosts of MIN_PAGES pages or more, branches outside
-the article of importance below `least` are removed from each page.
+importance of what is below by 1 - GAMMA^children and GAMMA^children. On hosts of MIN_PAGES pages or more, branches that
+are below `least` in importance with all that is below them are removed from each page, in an article as outside.
 
 Removed on every page, whatever the host: elements that declare themselves as something else than the article, by tag
 (nav, footer, aside, form, script, ...; header outside an article), by role or by a word of their class or id (ad, menu,
-sidebar, cookie, comments, ...), or hidden. If a page has an article (else: main) with text, only what is in it counts.
+sidebar, cookie, comments, ...), or hidden. Of what the tree leaves, only the articles count if they hold half of the text or
+more, else only main if that does, else all: a teaser in an article doesn't stand for the page. Where the tree leaves no text
+at all, as on hosts that repeat one page, articles and main stay. On hosts of fewer pages and for texts that
+their path doesn't repeat, the tree decides nothing: declared elements and these shares do.
 
 Counting is by (host, path, text hash), summed before each shuffle, so a hot host is no hot task. The low branches join
 back as one array a host: broadcast up to `broadcast_chars` characters, which is checked, so that pages aren't shuffled;
@@ -51,7 +54,7 @@ class Node:
     style: str
     path: str
     dropped: bool
-    article: int  # 2 inside an article, 1 inside main, else 0
+    article: int  # bits: 2 inside an article, 1 inside main
     children: list[str] = field(default_factory=list)
 
 
@@ -67,7 +70,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def _declared(tag: str, given: dict[str, str], article: int) -> bool:
     """Whether the element says that it isn't part of the article."""
-    if tag in DROPPED or tag == "header" and article < 2:
+    if tag in DROPPED or tag == "header" and not article & 2:
         return True
     if not given:
         return False
@@ -138,7 +141,7 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
             continue
         given, parent = _attributes(raw), stack[-1][1]
         style = tag + "".join(f".{w}" for w in sorted(given.get("class", "").split())) + (f"#{given['id']}" if given.get("id") else "")
-        article = max(parent.article, 2 if tag == "article" else 1 if tag == "main" or given.get("role") == "main" else 0)
+        article = parent.article | (2 if tag == "article" else 1 if tag == "main" or given.get("role") == "main" else 0)
         path = f"{parent.path}/{style}" if len(stack) <= DEPTH else parent.path
         node = Node(style, path, parent.dropped or _declared(tag, given, parent.article), article)
         parent.children.append(style)
@@ -150,26 +153,38 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
     return blocks, nodes
 
 
+def _is_low(path: str, low: frozenset[str], known: dict[str, bool]) -> bool:
+    """Whether path or one above it is low; known: answers of this page."""
+    if path not in known:
+        ends = [k for k, c in enumerate(path) if c == "/" and k] + [len(path)]
+        known[path] = any(path[:k] in low for k in ends)
+    return known[path]
+
+
 def main_text(page: str, low: frozenset[str] = frozenset()) -> str:
     """The page's text without declared and low branches; low: paths of the page's host."""
     blocks, _ = parsed(page)
-    left = [b for b in blocks if not b.node.dropped]
-    level = max((b.node.article for b in left), default=0)
-    if level:
-        left = [b for b in left if b.node.article == level]
-    elif low:
-        left = [b for b in left if not any(b.node.path == p or b.node.path.startswith(p + "/") for p in low)]
+    given = [b for b in blocks if not b.node.dropped]
+    known: dict[str, bool] = {}
+    left = [b for b in given if not _is_low(b.node.path, low, known)] if low else given
+    left = left or [b for b in given if b.node.article]
+    whole = sum(len(b.text) for b in left)
+    for bit in (2, 1):
+        held = [b for b in left if b.node.article & bit]
+        if held and 2 * sum(len(b.text) for b in held) >= whole:
+            left = held
+            break
     return "\n".join(b.text for b in left)
 
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each page adds to its host's style tree: path, kind (0 text, 1 child sequence), hash, of nodes that aren't declared or in an article."""
+    """What each page adds to its host's style tree: path, kind (0 text, 1 child sequence), hash, of nodes that aren't declared."""
     for batch in batches:
         hosts, paths, kinds, values, widths = [], [], [], [], []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             blocks, nodes = parsed(page or "")
-            seen = {(b.node.path, 0, b.text, 0) for b in blocks if not b.node.dropped and not b.node.article}
-            seen |= {(n.path, 1, " ".join(n.children), len(n.children)) for n in nodes if n.children and not n.dropped and not n.article}
+            seen = {(b.node.path, 0, b.text, 0) for b in blocks if not b.node.dropped}
+            seen |= {(n.path, 1, " ".join(n.children), len(n.children)) for n in nodes if n.children and not n.dropped}
             for path, kind, value, width in sorted(seen):
                 hosts.append(host)
                 paths.append(path)
@@ -179,6 +194,12 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(values, pa.string()), pa.array(widths, pa.int32())], ["host", "path", "kind", "value", "width"])
 
 
+def _above():
+    """path and the paths above it."""
+    steps = F.split("path", "/")
+    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the merged trees of pages (host, html)."""
     seen = pages.select("host", "html").mapInArrow(_observed, "host string, path string, kind int, value string, width int")
@@ -188,17 +209,17 @@ def style_tree(pages: DataFrame) -> DataFrame:
     even = F.when(F.col("n") > 1, F.col("nlogn") / F.col("n") / F.log("n")).otherwise(0.0)
     # Read twice below; written, so that pages are parsed once for the tree.
     own = written(on.select("host", "path", "kind", "n", "width", (1 - even).alias("importance")), "style-tree")
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
-    below = own.where("kind = 0").select("host", F.explode(above).alias("path"), "n", "importance").groupBy("host", "path").agg(F.max("n").alias("pages"), (F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"))
+    below = own.where("kind = 0").select("host", F.explode(_above()).alias("path"), "n", "importance").groupBy("host", "path").agg(F.max("n").alias("pages"), (F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"))
     look = own.where("kind = 1").select("host", "path", "width", F.col("importance").alias("look"))
     share = F.pow(F.lit(GAMMA), F.coalesce("width", F.lit(0)))
     return below.join(look, ["host", "path"], "left").select("host", "path", "pages", ((1 - share) * F.coalesce("look", F.lit(0.0)) + share * F.col("content")).alias("importance"))
 
 
 def low_branches(tree: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, low): the paths of low importance, one row a host."""
-    return tree.where((F.col("pages") >= min_pages) & (F.col("importance") < least) & (F.col("path") != "")).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
+    """(host, low): the paths of low importance that have no other path below, one row a host."""
+    rows = tree.withColumn("low", (F.col("pages") >= min_pages) & (F.col("importance") < least))
+    whole = rows.select("host", F.explode(_above()).alias("path"), "low").groupBy("host", "path").agg(F.bool_and("low").alias("low"))
+    return whole.where(F.col("low") & (F.col("path") != "")).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
 
 
 def host_of(url):

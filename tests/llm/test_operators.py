@@ -359,6 +359,29 @@ def test_style_tree_removes_repeated_branches(spark, broadcast_chars):
     assert htmltext.extracted(pages.limit(0), broadcast_chars=broadcast_chars).collect() == []
 
 
+def test_teaser_article_does_not_stand_for_the_page():
+    body = "<p>" + "The long text of this page. " * 9 + "</p>"
+    card = "<article class=card><h2>More</h2><p>A teaser</p></article>"
+    text = " ".join(("The long text of this page. " * 9).split())
+    assert htmltext.main_text(f"<body><main>{body}</main>{card}</body>") == text
+    assert htmltext.main_text(f"<body><div>{body}</div>{card}</body>") == f"{text}\nMore\nA teaser"
+    assert htmltext.main_text(f"<body><article>{body}</article><div>Short note</div></body>") == text
+
+
+def test_style_tree_decides_inside_articles(spark):
+    article = "<article><h1>Title {0}</h1><div class=terms>Read our terms of use</div><p>Text number {0} of many</p></article>"
+    rows = [(k, f"https://h.example/{k}", f"<body>{article.format(k)}</body>") for k in range(12)]
+    rows += [(100 + k, f"https://few.example/{k}", f"<body>{article.format(k)}</body>") for k in range(3)]
+    rows += [(200 + k, f"https://same.example/{k}", "<body><article><p>One page</p></article></body>") for k in range(12)]
+    # Many children in one order everywhere: low by its look, but not by what is in it.
+    rows += [(300 + k, f"https://wide.example/{k}", "<body><article>" + "".join(f"<p class=p{i}>Text {k} {i}</p>" for i in range(30)) + "</article></body>") for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k}\nText number {k} of many" for k in range(12))
+    assert got[100] == "Title 0\nRead our terms of use\nText number 0 of many"
+    assert all(got[200 + k] == "One page" for k in range(12))
+    assert all(got[300 + k] == "\n".join(f"Text {k} {i}" for i in range(30)) for k in range(12))
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
