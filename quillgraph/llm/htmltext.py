@@ -9,7 +9,8 @@ are below `least` in importance with all that is below them are removed from eac
 
 Removed on every page, whatever the host: elements that declare themselves as something else than the article, by tag
 (nav, footer, aside, form, script, ...; header outside an article), by role or by a word of their class or id (ad, menu,
-sidebar, cookie, comments, ...), or hidden. Of what the tree leaves, only the articles count if they hold half of the text or
+sidebar, cookie, comments, ...), or hidden. A word doesn't remove html, body, main or what holds most of the page's text
+(of its articles and main, if it has any); words for comments only give way around an article or main. Of what the tree leaves, only the articles count if they hold half of the text or
 more, else only main if that does, else all: a teaser in an article doesn't stand for the page. Where the tree leaves no text
 at all, as on hosts that repeat one page, articles and main stay. On hosts of fewer pages and for texts that
 their path doesn't repeat, the tree decides nothing: declared elements and these shares do.
@@ -43,6 +44,8 @@ RAW = frozenset("script style noscript template iframe svg math canvas object te
 DROPPED = frozenset("head nav footer aside form menu dialog select button input search audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split())
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+WORD, COMMENT, SURE = 1, 2, 3  # how an element declares itself: by a word, by one for comments, by tag, role or hidden
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -55,6 +58,8 @@ class Node:
     path: str
     dropped: bool
     article: int  # bits: 2 inside an article, 1 inside main
+    declared: int = 0
+    parent: int = -1
     children: list[str] = field(default_factory=list)
 
 
@@ -68,23 +73,60 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _declared(tag: str, given: dict[str, str], article: int) -> bool:
-    """Whether the element says that it isn't part of the article."""
+def _declared(tag: str, given: dict[str, str], article: int) -> int:
+    """How the element says that it isn't part of the article; 0: it doesn't."""
+    if tag in ("html", "body"):
+        return 0
     if tag in DROPPED or tag == "header" and not article & 2:
-        return True
+        return SURE
     if not given:
-        return False
+        return 0
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower() or given.get("role", "").lower() in ROLES:
-        return True
-    if tag in ("html", "body", "article", "main") and not re.search("comment|reply", given.get("class", "") + given.get("id", ""), re.I):
-        return False
-    return any(w.lower() in WORDS for w in _WORD.findall(given.get("class", "") + " " + given.get("id", "")))
+        return SURE
+    if tag == "main" or tag == "article" and not re.search("comment|reply", given.get("class", "") + given.get("id", ""), re.I):
+        return 0
+    found = {w.lower() for w in _WORD.findall(given.get("class", "") + " " + given.get("id", ""))} & WORDS
+    if article & 2:
+        found.discard("header")
+    return (COMMENT if found & COMMENTS else WORD) if found else 0
+
+
+def _drop(blocks: list[Block], nodes: list[Node]) -> None:
+    """Marks what is in elements that declare themselves, unless by a word that would take most of the page's text."""
+    sure = []
+    for n in nodes:
+        sure.append(n.declared == SURE or n.parent >= 0 and sure[n.parent])
+    kept = [n.declared in (WORD, COMMENT) for n in nodes]
+    if any(kept):
+        place = {id(n): k for k, n in enumerate(nodes)}
+        # Characters in and below each node: of all text, of articles and main, and of those that start below it.
+        text, inner, started = ([0] * len(nodes) for _ in range(3))
+        for b in blocks:
+            k = place[id(b.node)]
+            if not sure[k]:
+                text[k] += len(b.text)
+                inner[k] += len(b.text) * (b.node.article > 0)
+        for k in range(len(nodes) - 1, 0, -1):
+            up = nodes[k].parent
+            text[up] += text[k]
+            inner[up] += inner[k]
+            started[up] += started[k] if nodes[up].article == nodes[k].article else inner[k]
+        own = inner if inner[0] else text
+        lifted = [2 * started[k] > inner[0] > 0 or n.declared == WORD and 2 * own[k] > own[0] for k, n in enumerate(nodes)]
+        kept = [k and not up for k, up in zip(kept, lifted, strict=True)]
+        gone = []
+        for k, n in enumerate(nodes):
+            gone.append(kept[k] or n.parent >= 0 and gone[n.parent])
+        if inner[0] and all(gone[place[id(b.node)]] or sure[place[id(b.node)]] for b in blocks if b.node.article):
+            kept = [k and not started[i] for i, k in enumerate(kept)]
+    for k, n in enumerate(nodes):
+        n.dropped = sure[k] or kept[k] or n.parent >= 0 and nodes[n.parent].dropped
 
 
 def parsed(page: str) -> tuple[list[Block], list[Node]]:
     """Text blocks in page order, and all block elements."""
     root = Node("", "", False, 0)
-    stack: list[tuple[str, Node]] = [("", root)]
+    stack: list[tuple[str, Node, int]] = [("", root, 0)]
     blocks, nodes, parts, at, skipping = [], [root], [], 0, 0
     inline: list[str] = []  # inline elements that declare themselves as something else
 
@@ -132,7 +174,7 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
         if ends:
             close(tag)
             continue
-        if stack[-1][0] == "p" or any(t == "p" for t, _ in stack) and tag == "p":
+        if stack[-1][0] == "p" or any(t == "p" for t, *_ in stack) and tag == "p":
             close("p")
         for other in CLOSED_BY.get(tag, ()):
             if stack[-1][0] == other:
@@ -141,15 +183,17 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
             continue
         given, parent = _attributes(raw), stack[-1][1]
         style = tag + "".join(f".{w}" for w in sorted(given.get("class", "").split())) + (f"#{given['id']}" if given.get("id") else "")
-        article = parent.article | (2 if tag == "article" else 1 if tag == "main" or given.get("role") == "main" else 0)
+        declared = _declared(tag, given, parent.article)
+        article = parent.article | (2 * (not declared) if tag == "article" else 1 if tag == "main" or given.get("role") == "main" else 0)
         path = f"{parent.path}/{style}" if len(stack) <= DEPTH else parent.path
-        node = Node(style, path, parent.dropped or _declared(tag, given, parent.article), article)
+        node = Node(style, path, False, article, declared, stack[-1][2])
         parent.children.append(style)
+        stack.append((tag, node, len(nodes)))
         nodes.append(node)
-        stack.append((tag, node))
     if at < len(page) and not inline:
         parts.append(page[at:])
     flush()
+    _drop(blocks, nodes)
     return blocks, nodes
 
 

@@ -382,6 +382,26 @@ def test_style_tree_decides_inside_articles(spark):
     assert all(got[300 + k] == "\n".join(f"Text {k} {i}" for i in range(30)) for k in range(12))
 
 
+@pytest.mark.parametrize("wrapper", ["content-with-sidebar", "has-sidebar", "no-sidebar", "has-comments", "single comments-open"])
+def test_declared_words_around_the_text_do_not_drop_it(wrapper):
+    article = "<article><h1>A</h1><p>One two three four</p></article>"
+    noise = "<div class=sidebar>s</div><div id=comments><p>long talk about this and that, and more of it</p></div>"
+    assert htmltext.main_text(f"<body><div class='{wrapper}'>{article}{noise}</div></body>") == "A\nOne two three four"
+    assert htmltext.main_text(f"<body class='{wrapper}'>{article}{noise}</body>") == "A\nOne two three four"
+    assert htmltext.main_text(f"<body class='{wrapper}'><main class='{wrapper}'><p>One two three four</p></main>{noise}</body>") == "One two three four"
+    two = f"<div class='{wrapper}'>{article}</div>"
+    assert htmltext.main_text(f"<body>{two}{two}</body>") == "A\nOne two three four\nA\nOne two three four"
+
+
+def test_declared_words_without_articles_and_headers_of_articles():
+    assert htmltext.main_text("<body><div class=no-sidebar><p>One two three four</p></div><div class=sidebar>s</div></body>") == "One two three four"
+    assert htmltext.main_text("<body><p>One</p><div id=comments>long talk about this and that</div></body>") == "One"
+    assert htmltext.main_text("<body><article><div class='post-header'><h1>Title</h1></div><header class=entry-header>By</header><p>One two three</p></article></body>") == "Title\nBy\nOne two three"
+    assert htmltext.main_text("<body><div class='post-header'><h1>Title</h1></div><article><p>One two three</p></article></body>") == "One two three"
+    assert htmltext.main_text("<body><article><p>One two three</p></article><div class=related><article><p>Tip</p></article></div></body>") == "One two three"
+    assert htmltext.main_text("<body><article><p>One</p><div id=comments><article class=comment>long talk about this</article></div></article></body>") == "One"
+
+
 # -- 7 ---------------------------------------------------------------------------------------------------------------
 
 
