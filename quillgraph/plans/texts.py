@@ -115,8 +115,7 @@ def x07_uncached(spark, d):
 
 @query(None)
 def x09_canonical_names(spark, d):
-    words = explore.words_of(docs(spark, d)).where(F.length("word") >= 7)
-    counted = words.groupBy(F.col("word").alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n >= 8").withColumn("category", F.lit("other"))
+    counted = explore.words_of(docs(spark, d)).groupBy(F.col("word").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("category", F.lit("other"))
     return canonical.canonical_map(counted, DEFAULT.fuzzy_threshold)
 
 
