@@ -3,22 +3,31 @@
 Texts become multisets of five-word shingles (a shorter text is one shingle). A shingle's weight is its count in the
 text times 1 + 0.1 ln(N / df), where df counts documents, over all of them, in a table of 2^20 hashed counters. The
 noise that collisions add to df / N is the mean number of shingles a text over 2^20, so it does not depend on the
-size of the corpus and neither do the weights' range and the rule.
+size of the corpus and neither do the weights' range and the rule. The factor of 0.1 is deliberate: a near copy's edits
+make shingles that no other text holds, the heaviest there are, so undamped weights would let a few edits of a
+long text outweigh all that it shares; damped, rare shingles still count up to about twice a common one.
 
 `HASHES` consistent weighted samples (Ioffe 2010) a text are cut into bands of `ROWS`; texts that share a band fall
-into a bucket. Twice, every member of a bucket is held against one leader of another class, the one whose buckets hold most
-texts (what a group of copies was made from), and links join into classes by repeated minimum labels. After that only
-buckets that hold several classes count, and in them only pairs across classes: each is answered, in blocks of at most
-about 2 x `BLOCK` members, by the samples where they agree too seldom (`AGREE`) and else by the exact weighted Jaccard similarity of
-the texts; a pair that shares several bands is answered in the first. No partner or bucket is capped, and no pair of a
-group that is one class is made. A link at the threshold of 0.8 shares a band with probability above 0.9999.
+into a bucket. Every member of a bucket is held against one leader, the one whose buckets hold most texts (what a group of
+copies was made from), and links join into classes by repeated minimum labels; buckets that still hold more than a block outside
+their largest class get a second leader from there. After that only
+buckets that hold several classes count, and in them only pairs across classes. The members outside a bucket's largest
+class are the queries; they meet all its members in blocks of `LEAST_BLOCK` to `MOST_BLOCK` units (a member and each 4 KB of
+its text are a unit), an eighth of the bucket between these bounds. So a member is sent to at most nine tasks until a bucket has
+65536 units, and beyond that to one for each 8192 units of queries. Each pair is answered by the samples where they
+agree too seldom (`AGREE`) and else by the exact weighted Jaccard similarity of the texts; a pair that shares several bands is
+answered in the first. No partner or bucket is capped, and no pair of a group that is one class is made. A link at the
+threshold of 0.8 shares a band with probability above 0.9999.
+
+Buckets of a 65536th of all members or more (and of `HOT_ROWS`) are joined by broadcast, the others by a shuffle: there
+are at most 65536 of the former, and none of the latter makes a task hot.
 
 Texts of equal word sequences are folded first, so copies cost one row; they are of one class by definition. Texts
 without any word are of one class if they are identical.
 
-Defined cases: null text counts as empty; rows with null doc_id are alone (class_id null) and stay; rows that share a
-doc_id are one document, linked by each of their texts; an empty table gives an empty result; extra columns are
-ignored by `classes` and carried untouched by `deduplicated`.
+Defined cases: null text counts as empty; a very long text is taken whole, one at a time; rows with null doc_id are alone
+(class_id null) and stay; rows that share a doc_id are one document, linked by each of their texts; an empty table gives an
+empty result; extra columns are ignored by `classes` and carried untouched by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -36,7 +45,9 @@ from .wordhash import gram_rows, grams, mix, words_of
 
 SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
 #: Samples that must agree before two texts are compared; of a pair at the threshold fewer do with probability 1e-4.
-AGREE, BLOCK, TASK_LINKS = 50, 256, 200_000
+AGREE, TASK_LINKS = 50, 200_000
+LEAST_BLOCK, MOST_BLOCK, UNIT_BYTES = 512, 8192, 4096
+HOT_BUCKETS, HOT_ROWS, SMALL_MAP = 1 << 16, 256, 200_000
 COUNTERS = 1 << 20
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, (HASHES, 3), np.uint32)
 
@@ -176,7 +187,8 @@ def _sketch(idf):
                 full = np.diff(first) > 0
                 sig = samples(shingles, counts * table[counter_of(shingles)], first[:-1][full]) if full.any() else np.empty((0, HASHES), np.uint32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * HASHES))).astype(np.int32)), pa.array(np.ascontiguousarray(sig).ravel().view(np.int32)))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), lists], ["doc_id", "words_key", "samples"])
+                units = 1 + np.diff(offsets[a : b + 1]) // UNIT_BYTES
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), lists, pa.array(units, pa.int64())], ["doc_id", "words_key", "samples", "units"])
 
     return run
 
@@ -234,39 +246,67 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 class _Linker:
-    """Finds the links of the buckets' members (band, bucket, node) and keeps what has been answered."""
+    """Finds the links of the buckets' members (band, bucket, node, size, units) and keeps what has been answered."""
 
-    def __init__(self, rows: DataFrame, texts: DataFrame, members: DataFrame, idf, threshold: float):
-        self.rows, self.texts, self.idf, self.threshold = rows, texts, idf, threshold
+    def __init__(self, rows: DataFrame, texts: DataFrame, members: DataFrame, hot: int, idf, threshold: float):
+        self.rows, self.texts, self.hot, self.idf, self.threshold = rows, texts, hot, idf, threshold
         none = rows.sparkSession.createDataFrame([], "a long, b long")
         self.found, self.labels = [none], none.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("weight"))
-        self.members = written(members.join(weights, "node"), "weighted")
+        weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+        self.members, self.known = written(members.join(weights, "node"), "weighted"), None
 
     def links(self) -> DataFrame:
         return _union(self.found)
 
+    def with_bucket(self, members: DataFrame, buckets: DataFrame) -> DataFrame:
+        """members joined to buckets (bucket, size, ...), one row each; hot ones by broadcast, of which there are at most HOT_BUCKETS."""
+        warm, cold = F.col("size") >= self.hot, F.col("size") < self.hot
+        return members.where(cold).join(buckets.where(cold).drop("size"), "bucket").unionByName(members.where(warm).join(F.broadcast(buckets.where(warm).drop("size")), "bucket"))
+
     def mixed(self) -> DataFrame:
-        """Members of buckets that hold several classes, with their class and the bucket's size."""
-        named = self.members.join(self.labels, "node", "left").select("band", "bucket", "node", "weight", F.coalesce("label", "node").alias("label"))
-        several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("bucket", "size")
-        return written(named.join(several, "bucket"), "mixed")
+        """Members of buckets that hold several classes, with their class; made anew when classes have changed."""
+        if self.known is not None:
+            return self.known
+        named = self.members.join(self.labels, "node", "left").select("band", "bucket", "node", "size", "units", "weight", F.coalesce("label", "node").alias("label"))
+        several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("size").alias("size")).where("x <> y").select("bucket", "size")
+        self.known = written(self.with_bucket(named, several), "mixed")
+        return self.known
 
     def link(self, more: DataFrame) -> None:
-        self.found.append(written(more, "linked"))
-        self.labels = connected(self.links())
+        """Adds links; classes known so far are nodes of their own, so only what is new is connected."""
+        more = written(more, "linked")
+        if not more.isEmpty():
+            self.found.append(more)
+            self.join_classes(more)
+            self.known = None
+
+    def join_classes(self, links: DataFrame) -> None:
+        by = [self.labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in ("a", "b")]
+        between = links.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        now = connected(between)
+        moved = now.select(F.col("node").alias("label"), F.col("label").alias("new"))
+        if moved.count() <= SMALL_MAP:
+            moved = F.broadcast(moved)
+        after = self.labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+        self.labels = written(after.unionByName(now.join(self.labels, "node", "left_anti")), "classes")
+
+    def largest(self, named: DataFrame) -> DataFrame:
+        """Of each bucket: its size, all units, its largest class and that one's units."""
+        counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("units").alias("own"), F.max("size").alias("size"))
+        top = F.max_by(F.struct("label", "own"), F.struct("n", "label")).alias("top")
+        return counts.groupBy("bucket").agg(F.max("size").alias("size"), F.sum("own").alias("total"), top).select("bucket", "size", "total", F.col("top.label").alias("largest"), F.col("top.own").alias("own"))
 
     def star(self, again: bool) -> None:
-        """Each bucket's members against one leader of another class; again: a leader outside the bucket's largest class."""
+        """Each bucket's members against one leader of another class; again: in buckets whose queries fill more than a block, a leader of those."""
         named = self.mixed()
         able = named
         if again:
-            counts = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-            largest = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-            able = named.join(largest, "bucket").where("label <> largest")
-        lead = able.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("weight", F.xxhash64("node"))).alias("lead"))
-        met = named.join(lead, "bucket").where("label <> lead.label")
+            many = written(self.largest(named).where(F.col("total") - F.col("own") > LEAST_BLOCK).select("bucket", "size", "largest"), "many")
+            if many.isEmpty():
+                return
+            able = self.with_bucket(named, many).where("label <> largest")
+        lead = able.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("weight", F.xxhash64("node"))).alias("lead"), F.max("size").alias("size"))
+        met = self.with_bucket(named, lead).where("label <> lead.label")
         pairs = met.select(F.least("lead.node", "node").alias("a"), F.greatest("lead.node", "node").alias("b")).distinct()
         side = self.texts.select("node", "samples")
         both = pairs.join(side.select(F.col("node").alias("a"), F.col("samples").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("samples").alias("y")), "b")
@@ -281,79 +321,123 @@ class _Linker:
         return written(self.rows.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def across(self) -> None:
-        """All pairs across classes that share a bucket."""
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        placed = self.mixed().select("band", "bucket", "node", "label", F.pmod(F.hash("node"), blocks).alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        parts = placed.select("band", "bucket", "node", "label", "block", (F.least("block", "other") * 65536 + F.greatest("block", "other")).alias("part"))
+        """All pairs across classes that share a bucket: its members outside the largest class against all, in blocks."""
+        named = self.mixed()
+        block = F.least(F.greatest(F.ceil(F.col("total") / 8), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+        shapes = self.largest(named).select("bucket", "size", "largest", F.ceil(F.col("own") / block).alias("n1"), F.ceil((F.col("total") - F.col("own")) / block).alias("n2"))
+        main, spread = F.col("label") == F.col("largest"), F.xxhash64("node")
+        own = F.when(main, F.pmod(spread, "n1")).otherwise(F.col("n1") + F.pmod(spread, "n2"))
+        others = F.sequence(F.when(main, F.col("n1")).otherwise(F.lit(0)), F.col("n1") + F.col("n2") - 1)
+        placed = self.with_bucket(named, shapes).select("band", "bucket", "node", "label", own.alias("block"), F.explode(others).alias("other"))
+        parts = placed.select("band", "bucket", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
         held = parts.join(self.texts.select("node", "samples"), "node")
-        near = written(held.groupBy("bucket", "part").applyInArrow(_near, "bucket long, part int, node long"), "near")
-        texts = self.texts_of(near)
-        full = parts.join(near, ["bucket", "part", "node"]).join(self.texts.select("node", "samples"), "node").join(texts, "node")
-        self.link(full.groupBy("bucket", "part").applyInArrow(_verify_block(self.idf, self.threshold), "a long, b long").distinct())
+        near = written(held.groupBy("bucket", "p", "q").applyInArrow(_near, held.schema), "near")
+        full = near.join(self.texts_of(near), "node")
+        self.link(full.groupBy("bucket", "p", "q").applyInArrow(_verify_block(self.idf, self.threshold), "a long, b long").distinct())
 
-    def run(self) -> DataFrame:
+    def run(self) -> None:
         self.star(False)
         self.star(True)
         self.across()
-        return self.links()
 
 
-def _candidates(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows across classes whose samples agree often, that share no earlier band and lie in this part's two blocks."""
-    part, band, n = table.column("part")[0].as_py(), table.column("band")[0].as_py(), table.num_rows
+def _agreeing(low: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Of each row of low (HASHES bytes), the number of bytes equal to those of one; eight are counted at a time."""
+    same = (low == one).view(np.uint64).sum(1)
+    return (same * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _candidates(table: pa.Table) -> list[tuple[int, np.ndarray]]:
+    """(row, rows) of pairs across classes whose samples agree often, that share no earlier band and lie in this part's two blocks."""
+    band, p, q = (table.column(c)[0].as_py() for c in ("band", "p", "q"))
     label, block = (table.column(c).to_numpy() for c in ("label", "block"))
-    sig = table.column("samples").combine_chunks().flatten().to_numpy().reshape(n, HASHES)
-    left, right = [], []
-    for k in range(n - 1):
-        agree = sig[k + 1 :] == sig[k]
-        fine = (label[k + 1 :] != label[k]) & (agree.sum(1) >= AGREE)
-        if part >> 16 != part & 65535:
-            fine &= block[k + 1 :] != block[k]
-        at = np.flatnonzero(fine)
-        if band and len(at):
-            at = at[~agree[at, : band * ROWS].reshape(len(at), band, ROWS).all(2).any(1)]
-        left.append(np.full(len(at), k))
-        right.append(at + k + 1)
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    sig = table.column("samples").combine_chunks().flatten().to_numpy().reshape(table.num_rows, HASHES)
+    low = np.ascontiguousarray(sig.astype(np.uint8))
+    sides = [np.flatnonzero(block == k) for k in (p, q)]
+    few, many = sorted(sides, key=len)
+    held, found = low[many], []
+    for k, row in enumerate(few.tolist()):
+        start = k + 1 if p == q else 0
+        at = many[start:]
+        at = at[(_agreeing(held[start:], low[row]) >= AGREE) & (label[at] != label[row])]
+        if len(at):
+            agree = sig[at] == sig[row]
+            fine = agree.sum(1) >= AGREE
+            if band:
+                fine &= ~agree[:, : band * ROWS].reshape(len(at), band, ROWS).all(2).any(1)
+            at = at[fine]
+        if len(at):
+            found.append((row, at))
+    return found
 
 
 def _near(table: pa.Table) -> pa.Table:
-    at = np.unique(np.concatenate(_candidates(table)))
-    return table.take(pa.array(at)).select(["bucket", "part", "node"])
+    found = _candidates(table)
+    at = np.unique(np.concatenate([np.array([row for row, _ in found], np.int64), *(rows for _, rows in found)]))
+    return table.take(pa.array(at))
 
 
 def _verify_block(idf, threshold):
     def run(table: pa.Table) -> pa.Table:
-        left, right = _candidates(table)
-        texts = table.column("text")
-        weighted = {k: _weighted(texts[k].as_py(), idf.value) for k in np.unique(np.concatenate((left, right))).tolist()}
-        alike = [weighted_jaccard(weighted[a], weighted[b]) >= threshold for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-        node, keep = table.column("node").to_numpy(), np.array(alike, bool)
-        a, b = node[left[keep]], node[right[keep]]
+        data, offsets = text_buffers(table.column("text"))
+        known = []
+        for a, b in slices(offsets):
+            shingles, counts, first, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            weights = (counts * idf.value[counter_of(shingles)]).astype(np.float64)
+            known += [(shingles[i:j], weights[i:j]) for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        whole = np.array([w.sum() for _, w in known])
+        node, left, right = table.column("node").to_numpy(), [], []
+        for row, at in _candidates(table):
+            # No pair is more alike than the lighter text is of the heavier.
+            at = at[np.minimum(whole[at], whole[row]) >= threshold * np.maximum(whole[at], whole[row])]
+            alike = at[_similarities(known[row], [known[k] for k in at.tolist()]) >= threshold]
+            left.append(np.full(len(alike), node[row]))
+            right.append(node[alike])
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (left, right))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
+def _similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of one to each of others; shingles are sorted and distinct."""
+    if not others:
+        return np.empty(0)
+    shingles, weights = (np.concatenate([o[k] for o in others]) for k in (0, 1))
+    first = np.cumsum([0, *(len(o[0]) for o in others)])[:-1]
+    at = np.minimum(np.searchsorted(one[0], shingles), len(one[0]) - 1)
+    least = np.add.reduceat(np.where(one[0][at] == shingles, np.minimum(one[1][at], weights), 0.0), first)
+    return least / (np.add.reduceat(weights, first) + one[1].sum() - least)
+
+
+def sized(spread: DataFrame) -> tuple[DataFrame, int]:
+    """spread with the size of each bucket of two or more, and the size from which a bucket is hot."""
+    sizes = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), "sizes")
+    members = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    hot = max(HOT_ROWS, -(-members // HOT_BUCKETS))
+    warm = F.broadcast(sizes.where(F.col("size") >= hot))
+    cold = spread.join(warm.select("bucket"), "bucket", "left_anti").join(sizes.where(F.col("size") < hot), "bucket")
+    return written(cold.unionByName(spread.join(warm, "bucket")), "members"), hot
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the least doc_id of its class), n_links (verified links of its text to other texts), kept (doc_id is the class's)."""
+    """One row per row of docs: doc_id, class_id (the least doc_id of its class), n_links (links of its text to others that were verified; pairs inside a class that a leader has closed already are not made), kept (doc_id is the class's)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.where("doc_id is not null")
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(rows.select("text")))
-    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<int>"), "sketches")
-    texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples")), "nodes")
+    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<int>, units long"), "sketches")
+    texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"), F.max("units").alias("units")), "nodes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.slice("samples", j * ROWS + 1, ROWS)))
-    spread = texts.where(F.size("samples") > 0).select(F.posexplode(bands).alias("band", "bucket"), "node")
-    full = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("bucket")
-    members = written(spread.join(full, "bucket"), "members")
-    linked = _Linker(named, texts, members, idf, threshold).run()
+    spread = texts.where(F.size("samples") > 0).select(F.posexplode(bands).alias("band", "bucket"), "node", "units")
+    members, hot = sized(spread)
+    linker = _Linker(named, texts, members, hot, idf, threshold)
+    linker.run()
     # A document with several texts links them.
     same = sketches.join(texts.select("words_key", "node"), "words_key").where("doc_id <> node").select("doc_id", "node").join(texts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    labels = connected(linked.unionByName(same))
-    degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    by_text = texts.select("words_key", "node").join(labels, "node", "left").join(degree, "node", "left").select("words_key", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    linker.join_classes(same)
+    degree = linker.links().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    by_text = texts.select("words_key", "node").join(linker.labels, "node", "left").join(degree, "node", "left").select("words_key", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     out = sketches.select("doc_id", "words_key").join(by_text, "words_key").select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     unnamed = rows.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return out.unionByName(unnamed)

@@ -2,10 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -295,6 +296,94 @@ def test_near_classes_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["class_id"] for r in got.values()}
 
 
+def plain_shingles(text):
+    """Counts of five-word shingles by strings alone; a shorter text is one shingle."""
+    own = words(text)
+    return Counter(tuple(own[k : k + 5]) for k in range(max(len(own) - 4, 1))) if own else Counter()
+
+
+def plain_similarities(texts):
+    """Weighted Jaccard similarity of any two texts from plain dictionaries: weights are counts times 1 + 0.1 ln(N / df)."""
+    bags = [plain_shingles(t) for t in texts]
+    df = Counter(g for bag in bags for g in bag)
+    n = sum(1 for bag in bags if bag)
+    held = [{g: c * (1 + 0.1 * math.log(n / df[g])) for g, c in bag.items()} for bag in bags]
+
+    def similarity(i, j):
+        a, b = held[i], held[j]
+        least = sum(min(w, b[g]) for g, w in a.items() if g in b)
+        most = sum(a.values()) + sum(b.values()) - least
+        return least / most if most else 0.0
+
+    return similarity
+
+
+def hubs_and_spokes(groups, members, edits, length=120):
+    """Texts made from a few originals by up to `edits` new words each: many below, many above 0.8 to one another."""
+    rng = random.Random(7)
+    texts = []
+    for g in range(groups):
+        base = [f"g{g}w{rng.randrange(3000)}" for _ in range(length)]
+        for _ in range(members):
+            own = list(base)
+            for _ in range(rng.randrange(edits)):
+                own[rng.randrange(length)] = f"u{rng.randrange(100_000)}"
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("blocks", [(8, 24)])
+def test_near_links_against_all_pairs_by_plain_dictionaries(spark, blocks, monkeypatch):
+    """Queries with ids divisible by 50 against all rows, and classes; with small blocks, buckets take several blocks of each kind."""
+    monkeypatch.setattr(minhash, "LEAST_BLOCK", blocks[0])
+    monkeypatch.setattr(minhash, "MOST_BLOCK", blocks[1])
+    monkeypatch.setattr(minhash, "HOT_ROWS", 20)
+    texts = hubs_and_spokes(3, 150, 5)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs_of(spark, texts)).collect()}
+    similarity = plain_similarities(texts)
+    links, boss = 0, list(range(len(texts)))
+
+    def find(k):
+        while boss[k] != k:
+            k = boss[k]
+        return k
+
+    missed = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if similarity(i, j) >= minhash.THRESHOLD:
+            boss[max(find(i), find(j))] = min(find(i), find(j))
+            if i % 50 == 0 or j % 50 == 0:
+                links += 1
+                missed += got[i] != got[j]
+    assert links > 100 and missed <= 0.1 * links
+    assert sum(got[k] == find(k) for k in range(len(texts))) >= 0.99 * len(texts)
+    assert all(find(k) == find(got[k]) for k in range(len(texts)))  # nothing is joined that isn't linked
+
+
+def test_blocks_answer_each_pair_across_classes_once():
+    rng = np.random.default_rng(3)
+    n = 90
+    base = rng.integers(0, 1 << 31, minhash.HASHES)
+    sig = np.where(rng.random((n, minhash.HASHES)) < rng.uniform(0.05, 0.4, n)[:, None], rng.integers(0, 1 << 31, (n, minhash.HASHES)), base).astype(np.int32)
+    label, block = rng.integers(0, 60, n), rng.integers(0, 4, n)
+    want = {(i, j) for i, j in itertools.combinations(range(n), 2) if label[i] != label[j] and (sig[i] == sig[j]).sum() >= minhash.AGREE}
+    found = []
+    for p in range(4):
+        for q in range(p, 4):
+            at = np.flatnonzero((block == p) | (block == q))
+            if len(at):
+                part = pa.table({"band": np.zeros(len(at), int), "p": np.full(len(at), p), "q": np.full(len(at), q), "label": label[at], "block": block[at], "samples": pa.array(sig[at].tolist(), pa.list_(pa.int32()))})
+                found += [tuple(sorted((int(at[i]), int(at[j])))) for i, js in minhash._candidates(part) for j in js]
+    assert len(want) > 200 and len(found) == len(set(found)) and set(found) == want
+
+
+def test_near_link_counts(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    texts = [base, base + " x", base + " x", "other words stand here and nowhere else", None]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in minhash.classes(docs_of(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (0, 1), 3: (3, 0), 4: (4, 0)}
+
+
 def test_document_frequency_is_exact_up_to_the_counters(spark):
     rows = table(spark, "documents").select("text")
     df = defaultdict(int)
