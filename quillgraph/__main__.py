@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import canonical, communities, extraction, gold, graph, insights, report, sampling, silver
 from .plans.config import DEFAULT
 from .session import session, ship
-from .shared import written
+from .shared import remove_written, written
 from .sources import reviews as source
 
 
@@ -55,14 +55,17 @@ def main(arguments: list[str] | None = None) -> None:
     run.add_argument("csv")
     run.add_argument("folder")
     run.add_argument("--sample", type=int)
-    commands.add_parser("report").add_argument("folder")
+    shown = commands.add_parser("report")
+    shown.add_argument("folder")
+    shown.add_argument("--out", default="report.html")
     given = parser.parse_args(arguments)
     spark = session()
     ship(spark)
     if given.command == "run":
         build(spark, given.csv, given.folder, given.sample)
+        remove_written(spark)
     else:
-        Path("report.html").write_text(write_report(spark, given.folder))
+        Path(given.out).write_text(write_report(spark, given.folder))
 
 
 if __name__ == "__main__":

@@ -10,6 +10,8 @@ from .text import canonical_brand, nfkc_casefold
 
 # Words in s that aren't plurals.
 SINGULAR = ("news", "series", "analytics", "status", "access", "process", "address", "business", "bonus", "focus", "virus", "sms", "always", "less", "terms", "this", "his", "is", "yes", "us", "gas", "plus")
+# Fixed value: punctuation that isn't part of a name.
+PUNCTUATION = "[\"'`.,;:!?()\\[\\]]"
 STEPS = ("raw", "brand spellings", "case and width", "punctuation and article", "last word singular")
 
 
@@ -25,7 +27,7 @@ def singular(word: Column) -> Column:
 
 
 def _bare(name: Column) -> Column:
-    name = F.regexp_replace(name, "[\"'`.,;:!?()\\[\\]]", " ")
+    name = F.regexp_replace(name, PUNCTUATION, " ")
     name = F.regexp_replace(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")), r"^(?:the|an?) ", "")
     return F.trim(F.regexp_replace(name, r"(?U)[\s-]+", " "))
 

@@ -64,14 +64,16 @@ def offline(texts: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
     at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0))), lambda k: F.coalesce(F.get("w", k), F.lit("")).rlike("^(?:" + "|".join(STEMS) + ")"))
     found = texts.withColumn("w", words).withColumn("aspects", F.transform(F.slice(at, 1, config.max_aspects), aspect))
-    relation = lambda a: F.struct(F.lit(config.brand.name.lower()).alias("subject"), F.when(a["sentiment"] == "negative", "HAS_ISSUE").otherwise("RELATED_TO").alias("predicate"), a["aspect"].alias("object"), a["sentiment"].alias("sentiment"))
+    relation = lambda a: F.struct(F.lit(config.brand.name.lower()).alias("subject"), F.when(a["sentiment"] == "negative", "HAS_ISSUE").when(a["sentiment"] == "positive", "PRAISES").otherwise("USED_FOR").alias("predicate"), a["aspect"].alias("object"), a["sentiment"].alias("sentiment"))
     whole = F.struct("aspects", F.transform(F.slice("aspects", 1, config.max_triplets), relation).alias("triplets"), mood(F.col("w")).alias("overall_sentiment"), F.array_contains("w", config.brand.name.lower()).alias("is_about_brand"))
     return found.withColumn("extraction", F.when(F.size("w") > 0, whole)).drop("w", "aspects")
 
 
-def extract(reviews: DataFrame, cache: DataFrame | None, extractor: Callable[[DataFrame], DataFrame], key: str = "review_id") -> DataFrame:
-    """Cached answers, and the extractor's for the rest; a null extraction is a failure and isn't cached."""
+def extract(reviews: DataFrame, cache: DataFrame | None, extractor: Callable[[DataFrame], DataFrame], key: str = "review_id", order: str | None = None) -> DataFrame:
+    """One answer a review: cached ones, the last by `order` (without it the largest), and the extractor's for the rest. A null extraction is a failure, is never taken from the cache and is asked for anew."""
     if cache is None:
-        return extractor(reviews)
-    old = reviews.select(key).join(cache.select(key, "extraction"), key)
-    return old.unionByName(extractor(missing(reviews, cache.where("extraction is not null"), key)).select(key, "extraction"))
+        return extractor(reviews).select(key, "extraction")
+    known = cache.where("extraction is not null")
+    best = F.max_by("extraction", F.struct(order, "extraction")) if order else F.max("extraction")
+    old = reviews.select(key).join(known.groupBy(key).agg(best.alias("extraction")), key)
+    return old.unionByName(extractor(missing(reviews, known, key)).select(key, "extraction"))

@@ -77,10 +77,10 @@ def stakeholder_metrics(mentions: DataFrame, reviews: DataFrame, config: Config
 
 
 def stakeholder_entities(mentions: DataFrame, reviews: DataFrame, hubs: DataFrame, config: Config = DEFAULT, k: int = 8) -> DataFrame:
-    """The k entities of most distinct reviews for each stakeholder, hubs left out."""
+    """The k entities of most mentions for each stakeholder, hubs left out."""
     own = _by_stakeholder(mentions, reviews, config.stakeholders).join(hubs, "entity_id", "left_anti")
-    counted = own.groupBy("stakeholder", "entity_id").agg(F.countDistinct("review_id").alias("n_reviews"), F.avg("stars").alias("avg_stars"))
-    rank = F.row_number().over(Window.partitionBy("stakeholder").orderBy(F.desc("n_reviews"), "entity_id"))
+    counted = own.groupBy("stakeholder", "entity_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("review_id").alias("n_reviews"), F.avg("stars").alias("avg_stars"))
+    rank = F.row_number().over(Window.partitionBy("stakeholder").orderBy(F.desc("n_mentions"), "entity_id"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -46,7 +46,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.concat("l_returnflag", "l_linestatus")
-    predicate = F.when(flags == "RO", "CAUSED_BY").when(flags == "RF", "LEADS_TO").when(flags == "AF", "REQUESTS").when(flags == "AO", "HAS_ISSUE").when(flags == "NO", "USED_FOR").otherwise("RELATED_TO")
+    predicate = F.when(flags == "RO", "CAUSED_BY").when(flags == "RF", "LEADS_TO").when(flags == "AF", "REQUESTS").when(flags == "AO", "HAS_ISSUE").when(flags == "NO", "USED_FOR").otherwise("CRITICIZES")
     return _lines(spark, sf_dir).select(F.col("l_orderkey").alias("review_id"), slug(_name("p_brand")).alias("subject_id"), predicate.alias("predicate"), slug(F.lower("p_type")).alias("object_id"), _sentiment().alias("sentiment"))
 
 
@@ -72,7 +72,7 @@ SQL = {
     "mentions": """mentions as (select l_orderkey review_id, 'e_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') entity_id, lower(replace(p_brand, '#', ' ')) as name, lower(p_type) category, p_name opinion,
   case l_returnflag when 'R' then 'negative' when 'A' then 'neutral' else 'positive' end sentiment, p_name || ' ' || l_linenumber evidence from lineitem join part on l_partkey = p_partkey)""",
     "triplets": """triplets as (select l_orderkey review_id, 'e_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') subject_id,
-  case l_returnflag || l_linestatus when 'RO' then 'CAUSED_BY' when 'RF' then 'LEADS_TO' when 'AF' then 'REQUESTS' when 'AO' then 'HAS_ISSUE' when 'NO' then 'USED_FOR' else 'RELATED_TO' end predicate,
+  case l_returnflag || l_linestatus when 'RO' then 'CAUSED_BY' when 'RF' then 'LEADS_TO' when 'AF' then 'REQUESTS' when 'AO' then 'HAS_ISSUE' when 'NO' then 'USED_FOR' else 'CRITICIZES' end predicate,
   'e_' || lower(p_type) object_id, case l_returnflag when 'R' then 'negative' when 'A' then 'neutral' else 'positive' end sentiment from lineitem join part on l_partkey = p_partkey)""",
     "entities": """entities as (select distinct 'e_' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') entity_id, lower(replace(p_brand, '#', ' ')) as name from part
   union select 'e_' || lower(p_type), lower(p_type) from part)""",

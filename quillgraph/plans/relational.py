@@ -113,7 +113,7 @@ def i05_interest_trends(spark, d):
 
 FITS = "own as (select s.stakeholder, m.*, r.stars, r.source_group, r.language from mentions m join reviews r using (review_id) join (values ('leadership', null, 'negative'), ('product', 'economy small', 'negative'), ('support', 'promo', null), ('brand', 'standard large medium', 'positive')) s(stakeholder, cats, mood) on (cats is null or list_contains(string_split(cats, ' '), category)) and (mood is null or sentiment = mood))"
 SH = A.sql("reviews", "mentions", "entities") + f", {HUBS}, {FITS}"
-TOP = "tops as (select *, row_number() over (partition by stakeholder order by n_reviews desc, entity_id) as rank from (select stakeholder, entity_id, count(distinct review_id) n_reviews, avg(stars) avg_stars from own where entity_id not in (select entity_id from hubs) group by all))"
+TOP = "tops as (select *, row_number() over (partition by stakeholder order by n_mentions desc, entity_id) as rank from (select stakeholder, entity_id, count(*) n_mentions, count(distinct review_id) n_reviews, avg(stars) avg_stars from own where entity_id not in (select entity_id from hubs) group by all))"
 
 
 @query(SH + ", " + trend_sql("select stakeholder as key, review_id from own") + ", base as (select stakeholder, count(*) n_reviews, count(*) / cast((select count(*) from reviews) as double) share_of_reviews, avg(stars) avg_stars, avg(case when source_group = 'organic' then 1.0 else 0.0 end) organic_share from (select distinct stakeholder, review_id, stars, source_group from own) group by all) select stakeholder, b.n_reviews, round(share_of_reviews, 6) share_of_reviews, round(avg_stars, 6) avg_stars, round(organic_share, 6) organic_share, t.n_reviews n_reviews_trend, round(early_share, 6) early_share, round(late_share, 6) late_share, round(change_pp, 6) change_pp, trend from base b join trends t on t.key = b.stakeholder")
@@ -125,7 +125,7 @@ def _hubs(spark, d):
     return graph.hub_ids(A.entities(spark, d), CONFIG.hubs)
 
 
-@query(SH + f", {TOP} select stakeholder, entity_id, n_reviews, round(avg_stars, 6) avg_stars, rank from tops where rank <= 8")
+@query(SH + f", {TOP} select stakeholder, entity_id, n_mentions, n_reviews, round(avg_stars, 6) avg_stars, rank from tops where rank <= 8")
 def i07_stakeholder_entities(spark, d):
     return rounded(insights.stakeholder_entities(A.mentions(spark, d), A.reviews(spark, d), _hubs(spark, d), CONFIG).withColumn("rank", F.col("rank").cast("long")), "avg_stars")
 

