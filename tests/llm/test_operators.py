@@ -167,6 +167,32 @@ def test_packing_round_trip(spark, odd):
     assert len(by_bin) <= 1.02 * total / 2048 + 1
 
 
+def test_packing_odd_rows(spark, odd):
+    """Nulls, repeated rows, extra columns and an empty table."""
+    cut = packing.pieces(odd, bpe.default_path())
+    rows, spans = packing.packed(cut).collect(), defaultdict(list)
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
+    for r in rows:
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in s) <= 2048 and sorted(a for a, _ in s) == [sum(n for b, n in s if b < a) for a, _ in sorted(s)] for s in spans.values())
+    assert packing.packed(packing.pieces(odd.limit(0), bpe.default_path())).collect() == []
+
+
+def test_the_bound_on_open_bins_acts(spark, monkeypatch):
+    """Pieces of more than half a sequence fill no bin in pairs, so each opens one, and the fullest must close."""
+    closed, most = [], 0
+    take = packing.BestFit._take
+    bins = packing.BestFit(2048, packing.OPEN_BINS)
+    monkeypatch.setattr(packing.BestFit, "_take", lambda self, space: closed.append(space) or take(self, space))
+    for n in sorted((random.Random(k).randrange(1, 2049) for k in range(packing.TASK_ROWS)), reverse=True):
+        bins.place(n)
+        most = max(most, bins.open)
+    assert most == packing.OPEN_BINS and bins.made * 2048 < 1.15 * sum(random.Random(k).randrange(1, 2049) for k in range(packing.TASK_ROWS))
+    pieces = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 10 + 1).alias("length"), F.lit(0).cast("long").alias("ids_crc32"))
+    count = lambda bound: packing.packed(pieces, 10, bound, 10**6).select("sequence_id").distinct().count()
+    assert count(1) > count(400) == 220
+
+
 def test_the_fullest_bin_closes_first():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (7, 6, 5)] == [(0, 0), (1, 0), (2, 0)]  # bin 0 held most and was closed
@@ -180,9 +206,9 @@ CHANGE = "op string, doc_id long, version string, source string, lang string, n_
 
 def test_rollup_follows_any_batches(spark, tmp_path):
     rng, state = random.Random(3), {}
-    rollup = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    rollup = rollups.Rollup(spark, f"file://{tmp_path}/r", compact=2)
     assert rollup.totals().collect() == []
-    for batch in range(4):
+    for batch in range(5):
         changes = {}
         for _ in range(12):
             key = (rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.choice(["v1", "v2"]))
@@ -190,8 +216,11 @@ def test_rollup_follows_any_batches(spark, tmp_path):
         df = spark.createDataFrame(list(changes.values()), CHANGE).withColumn("change", F.lit("x"))
         assert rollup.apply(f"b{batch}", df)
         assert not rollup.apply(f"b{batch}", df)
-        for op, doc, version, source, lang, n in changes.values():
-            state.pop((doc, version), None) if op == "delete" else state.update({(doc, version): (source, lang, n or 0)})
+        for k, (op, doc, version, source, lang, n) in enumerate(changes.values()):
+            if doc is None:  # can't be found again: each is a document of its own
+                state.update({((batch, k), version): (source, lang, n or 0)} if op != "delete" else {})
+            else:
+                state.pop((doc, version), None) if op == "delete" else state.update({(doc, version): (source, lang, n or 0)})
         want = defaultdict(lambda: [0, 0])
         for (_, version), (source, lang, n) in state.items():
             want[source, lang, version][0] += 1
@@ -203,13 +232,35 @@ def test_rollup_follows_any_batches(spark, tmp_path):
 def test_a_broken_batch_leaves_nothing(spark, tmp_path):
     rollup = rollups.Rollup(spark, f"file://{tmp_path}/r")
     one = spark.createDataFrame([("insert", 1, "v", "s", "en", 5)], CHANGE)
-    spark.createDataFrame([(9, "v", "s", "en", 99, 1)], rollups.ENTRIES.replace("doc_id long, version string, source string, lang string", "doc_id long, version string, source string, lang string")).write.parquet(f"{rollup.folder}/ledger/batch=b")
-    spark.createDataFrame([("s", "en", "v", 1, 99)], rollups.DELTAS).write.parquet(f"{rollup.folder}/deltas/batch=b")
+    spark.createDataFrame([("9", "v", "s", "en", 99, 1)], rollups.ENTRIES).write.parquet(f"{rollup.folder}/attempts/gone/ledger")
+    spark.createDataFrame([("s", "en", "v", 1, 99)], rollups.DELTAS).write.parquet(f"{rollup.folder}/attempts/gone/deltas")
+    rollup.snapshot()
     assert rollup.totals().collect() == []
     assert rollup.apply("b", one)
     assert rows_of(rollup.totals().select("source", "lang", "version", "n_docs", "n_tokens")) == [("s", "en", "v", 1, 5)]
 
 
+def test_of_two_writers_of_one_batch_one_counts(spark, tmp_path, monkeypatch):
+    first, second = (rollups.Rollup(spark, f"file://{tmp_path}/r") for _ in range(2))
+    one = spark.createDataFrame([("insert", 1, "v", "s", "en", 5)], CHANGE)
+    seen = second.committed()
+    assert first.apply("b", one)
+    monkeypatch.setattr(second, "committed", lambda: seen)  # looked before the first was done
+    assert not second.apply("b", one)
+    assert [(r["n_docs"], r["n_tokens"]) for r in first.totals().collect()] == [(1, 5)]
+
+
+def test_counted_odd_rows(spark, odd, tmp_path):
+    rollup = rollups.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([(None, "a b c", "s", "en"), (None, "a b c d e", "s", "en"), ("x7", "a", "s", "en"), ("x7", "a", "s", "en"), ("y", None, "s", "en")], "doc_id string, text string, source string, lang string").withColumn("op", F.lit("?")).withColumn("n_tokens", F.lit("?"))
+    rollup.apply("one", rollups.counted(rows, bpe.default_path()))
+    assert {(r["version"]): (r["n_docs"], r["n_tokens"]) for r in rollup.totals().collect()}[rollups.WORDS_VERSION] == (4, 9)
+    assert rollups.counted(rows.limit(0), bpe.default_path()).collect() == []
+    rollup.apply("two", rollups.counted(odd, bpe.default_path()))  # ids 1 to 8, of which 4 twice, and a null
+    got = {r["version"]: r["n_docs"] for r in rollup.totals().where("source = 's'").groupBy("version").agg(F.sum("n_docs").alias("n_docs")).collect()}
+    assert got[rollups.WORDS_VERSION] == 4 + 9
+
+
 def test_token_counts_of_all_documents(spark):
     from tokenizers import Tokenizer
 
@@ -237,6 +288,17 @@ def test_quality_on_held_out_labels(spark):
     assert len(held) > 40 and sum(p == q for p, q in held) >= 0.95 * len(held)
 
 
+def test_a_text_beyond_the_bound_does_not_end_the_fit(spark):
+    rng = random.Random(1)
+    texts = [("good " if k % 2 else "bad ") * rng.randrange(5, 9) for k in range(200)] + ["long " * 5000]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(201)] + [(10_000 + k, 1) for k in range(50)], "doc_id long, quality int")
+    assert quality.train(docs, labels, max_chars=6000).layers is not None
+    assert quality.train(docs, labels, max_chars=3).layers is None
+    twice = quality.scores(docs, quality.train(docs.unionByName(docs), labels)).collect()
+    assert twice == quality.scores(docs, quality.train(docs, labels)).collect()
+
+
 def test_quality_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     docs = odd.withColumn("text", F.col("text"))
@@ -448,6 +510,69 @@ def test_style_tree_removes_repeated_branches(spark, broadcast_chars):
     assert htmltext.extracted(pages.limit(0), broadcast_chars=broadcast_chars).collect() == []
 
 
+def plain_importance(pages):
+    """Importance of each path below a host, from (path, texts) and (path, children) of each page by plain dictionaries."""
+    texts, kids = defaultdict(Counter), defaultdict(Counter)
+    for blocks, nodes in pages:
+        for path, text in {(b.node.path, b.text) for b in blocks if not b.node.dropped}:
+            texts[path][text] += 1
+        for path, children in {(n.path, tuple(n.children)) for n in nodes if n.children and not n.dropped}:
+            kids[path][children] += 1
+
+    def evenness(counts):
+        m = sum(counts.values())
+        return sum(n * math.log(n) for n in counts.values()) / m / math.log(m + htmltext.PRIOR)
+
+    out = {}
+    for path in {"/".join(p.split("/")[:k]) for p in texts for k in range(1, p.count("/") + 2)}:
+        below = [p for p in texts if p == path or p.startswith(path + "/")]
+        weight = [sum(texts[p].values()) for p in below]
+        content = sum(w * (1 - evenness(texts[p])) for w, p in zip(weight, below, strict=True)) / sum(weight)
+        share = htmltext.GAMMA ** max(map(len, kids[path]), default=0)
+        out[path] = (1 - share) * (1 - evenness(kids[path]) if kids[path] else 0.0) + share * content
+    return out
+
+
+def test_style_tree_equals_a_plain_one(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(60):
+        body = "".join(f"<div class={rng.choice('ab')}><p>{rng.choice(['again', 'once more', f'own {k} {j}'])}</p><span>{rng.randrange(3)}</span></div>" for j in range(rng.randrange(1, 4)))
+        rows.append((k, ("one", "two", "few")[min(k // 28, 2)], f"<body><article>{body}</article><div class=z>tail {k % 2}</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, host string, html string")
+    got = {(r["host"], r["path"]): r["importance"] for r in htmltext.style_tree(pages).collect()}
+    want = {(host, path): v for host in ("one", "two", "few") for path, v in plain_importance([htmltext.parsed(h) for _, x, h in rows if x == host]).items()}
+    assert got == pytest.approx(want) and len(want) > 15
+    low = {r["host"]: r["low"] for r in htmltext.low_branches(htmltext.style_tree(pages), 0.5).collect()}
+    for host in ("one", "two", "few"):
+        own = {p: v for (h, p), v in want.items() if h == host}
+        gone = {p for p in own if p and all(v < 0.5 for q, v in own.items() if q == p or q.startswith(p + "/"))}
+        assert low.get(host, []) == sorted(p for p in gone if p.rpartition("/")[0] not in gone)
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<p>", "<a x=\"", "<a '>'", "</p>", "<li><ul>", "<div></p>", "<!", "<a \">", "<script>", "<"])
+def test_megabyte_pages_take_their_time_only_once(unit):
+    import time
+
+    began = time.process_time()
+    htmltext.main_text(unit * (1_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_deep_and_long_pages_keep_their_text():
+    deep = "<div>" * 3000 + "inner text" + "</div>" * 3000
+    assert htmltext.main_text(f"<body><p>one</p>{deep}<p>two</p></body>") == "one\ninner text\ntwo"
+    assert htmltext.main_text("<body><article><p>" + "word " * 200_000 + "</p></article>") == " ".join(["word"] * 200_000)
+    assert htmltext.main_text("<p>a <script>if (a<b && '</p>') {}</script>b <b title='x>y'>c</b>") == "a b c"
+
+
+def test_repeated_pages_each_get_their_answer(spark):
+    page = (1, "https://a.example/1", "<article><h1>T</h1><p>Text of the page</p></article><nav>menu</nav>")
+    rows = spark.createDataFrame([page] * 30 + [(2, None, page[2]), (None, "https://a.example/2", None)], "page_id long, url string, html string")
+    got = Counter(tuple(r) for r in htmltext.extracted(rows).collect())
+    assert got == {(1, page[1], "T\nText of the page", 18): 30, (2, None, "T\nText of the page", 18): 1, (None, "https://a.example/2", "", 0): 1}
+
+
 def test_teaser_article_does_not_stand_for_the_page():
     body = "<p>" + "The long text of this page. " * 9 + "</p>"
     card = "<article class=card><h2>More</h2><p>A teaser</p></article>"
@@ -547,6 +672,17 @@ def test_exact_groups_equal_brute_force(spark, max_bits, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == {k: (best[t or ""], size[t or ""], best[t or ""] == k, hashlib.sha256((t or "").encode()).hexdigest()) for k, t in enumerate(texts)}
 
 
+def test_hot_and_common_groups(spark, monkeypatch):
+    """One text of a third of all rows and many pairs, in one range and in several; one range may stay empty."""
+    monkeypatch.setattr(exact_dedup, "MIN_BITS", 1 << 15)
+    texts = ["hot"] * 3000 + [f"pair {k // 2}" for k in range(4000)] + [f"alone {k}" for k in range(2000)]
+    for docs, most in ((docs_of(spark, texts), 1 << 15), (docs_of(spark, texts), 1 << 20), (docs_of(spark, ["same"] * 5000), 1 << 15)):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.groups(docs, max_bits=most).collect()}
+        own = [r["text"] for r in docs.orderBy("doc_id").collect()]
+        last, size = {t: k for k, t in enumerate(own)}, Counter(own)
+        assert got == {k: (last[t], size[t], last[t] == k) for k, t in enumerate(own)}
+
+
 def test_exact_odd_rows(spark, odd):
     left = exact_dedup.deduplicated(odd)
     assert left.columns == odd.columns
@@ -569,27 +705,71 @@ def brute_rule(url):
 
 
 def test_url_rules_equal_brute_force(spark):
-    urls = [None, "", "example.org/es/", "http://example.org/es/x", "https://a.EXAMPLE.org/en/1?x=/es/", "x://org", "x://org/", "x://xorg/", "x://b.com/fr/", "x://b.com/de/?q", "x://b.com/de", "a://b://c.org/x", "x://É.Org/#/y", "x://example.org?/es/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").unionByName(table(spark, "pages").select("page_id", "url"))
+    urls = [None, "", "example.org/es/", "http://example.org/es/x", "https://a.EXAMPLE.org/en/1?x=/es/", "x://org", "x://org/", "x://xorg/", "x://b.com/fr/", "x://b.com/de/?q", "x://b.com/de", "a://b://c.org/x", "x://É.Org/#/y", "x://example.org?/es/", "x://b.com/de/" + "y" * 70_000]
+    own = spark.createDataFrame([(-1 - k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    pages = own.unionByName(own).unionByName(table(spark, "pages").select("page_id", "url"))
     none = spark.createDataFrame([], "url string, blocked boolean")
-    for r in urlfilter.verdicts(pages.withColumn("host", F.lit(1)), none).join(pages, "page_id").collect():
-        if (r["host"], r["path"]) == brute_rule(r["url"])[:2]:
-            assert (r["rule"], r["verdict"]) == (brute_rule(r["url"])[2], brute_rule(r["url"])[3] or "allow")
-    got = {r["page_id"]: r for r in urlfilter.verdicts(pages.where("url is null or page_id < 0 or length(url) < 30").limit(14), none).collect()}
-    assert got
-    for k, url in enumerate(urls):
-        r = [x for x in urlfilter.verdicts(pages.where(F.col("url").eqNullSafe(F.lit(url))), none).collect()][0]
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (*brute_rule(url)[:3], brute_rule(url)[3] or "allow")
+    want = Counter((r["page_id"], *brute_rule(r["url"])[:3], brute_rule(r["url"])[3] or "allow") for r in pages.collect())
+    got = urlfilter.verdicts(pages.withColumn("host", F.lit(1)).withColumn("token", F.lit("a")).withColumn("rule", F.lit(2)), none)
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert urlfilter.verdicts(pages.limit(0), none).collect() == []
+    assert urlfilter.verdicts(own.select("page_id", F.lit(None).cast("string").alias("url")), none).groupBy("verdict").count().collect() == [("allow", len(urls))]
+
+
+def plain_rules(baskets, min_count, min_confidence, sure):
+    """All sets of up to four tokens that pass the bounds and that no part of them equals, by counting every set."""
+    seen, bad = Counter(), Counter()
+    for tokens, blocked in baskets:
+        for n in range(1, 5):
+            for own in itertools.combinations(sorted(set(tokens)), n):
+                seen[own] += 1
+                bad[own] += blocked
+
+    def lower(c, n):
+        z = 1.96
+        return (c + z * z / (2 * n) - z * math.sqrt((c * (1 - c) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+
+    fits = {own: bad[own] / n for own, n in seen.items() if bad[own] >= min_count and bad[own] / n >= min_confidence and lower(bad[own] / n, n) >= sure}
+    return {own: c for own, c in fits.items() if not any(set(p) < set(own) and d >= c for p, d in fits.items())}
+
+
+def test_mined_rules_equal_counting_every_set(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(300):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.4] or ["a"]
+        chance = 0.95 if {"a", "c"} <= set(tokens) else 0.9 if "f" in tokens else 0.1
+        rows.append((tokens, rng.random() < chance))
+    rows.append((["a"], None))
+    got = urlfilter.mined(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.0)
+    found = {tuple(r["tokens"]): r["confidence"] for r in got.collect()}
+    want = plain_rules([(t, bool(b)) for t, b in rows], urlfilter.MIN_COUNT, urlfilter.MIN_CONFIDENCE, urlfilter.SURE)
+    assert {k: v for k, v in found.items() if len(k) < 5} == pytest.approx(want) and len(want) >= 2
+    # The index finds what comparing each url with each rule finds.
+    texts = [f"x://{'-'.join(rng.sample('abcdefgh', 4))}.net/" for _ in range(60)]
+    rules = spark.createDataFrame([(["word=a", "word=c"], 1.0, 0.1), (["word=f"], 0.9, 0.1), (["word=b", "word=d", "word=g"], 0.8, 0.1)], urlfilter.RULE)
+    blocked = {r["url"] for r in urlfilter.blocked_urls(spark.createDataFrame([(t,) for t in texts], "url string"), rules).collect()}
+    held = [set(t[4:].split(".")[0].split("-")) for t in texts]
+    assert blocked == {t for t, own in zip(texts, held, strict=True) if {"a", "c"} <= own or "f" in own or {"b", "d", "g"} <= own}
 
 
 def test_mined_rules_block_combinations(spark):
     rows = [(f"http://s{k % 7}.net/{'casino' if k % 3 == 0 else 'news'}/{'win' if k % 2 else 'read'}/{k}", k % 3 == 0 and k % 2 == 1) for k in range(240)]
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
-    rules = urlfilter.mined(labelled.select(urlfilter.tokens_of(F.col("url")).alias("tokens"), "blocked"))
+    rules = [(r["tokens"], r["confidence"]) for r in urlfilter.mined(labelled.select(urlfilter.tokens_of(F.col("url")).alias("tokens"), "blocked")).collect()]
     assert (["path=casino", "path=win"], 1.0) in rules
     assert not any({"path=casino", "path=win"} < set(t) for t, _ in rules)
-    pages = spark.createDataFrame([(1, "http://new.net/casino/win/999"), (2, "http://new.net/casino/read/1"), (3, "http://new.net/news/win/1"), (4, None)], "page_id long, url string")
-    assert {r["page_id"]: r["verdict"] for r in urlfilter.verdicts(pages, labelled).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+    pages = spark.createDataFrame([(1, "http://new.net/casino/win/999"), (2, "http://new.net/casino/read/1"), (3, "http://new.net/news/win/1"), (4, None), (1, "http://new.net/casino/win/999")], "page_id long, url string")
+    assert sorted((r["page_id"], r["verdict"]) for r in urlfilter.verdicts(pages, labelled).collect()) == [(1, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "allow")]
+
+
+def test_seed_words_label_hosts(spark):
+    pages = spark.createDataFrame([(k, f"http://{'free-casino' if k % 5 == 0 else 'plain'}.s{k % 3}.net/{k}") for k in range(100)] + [(None, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    labelled = {r["url"]: r["blocked"] for r in urlfilter.labelled_pages(pages, labels).collect()}
+    assert len(labelled) == 100 and sum(labelled.values()) == 21
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.verdicts(pages, urlfilter.labelled_pages(pages, labels)).collect()}
+    assert all(got[k] == ("block" if k % 5 == 0 else "allow") for k in range(100)) and got[None] == "allow"
 
 
 # -- 10 --------------------------------------------------------------------------------------------------------------
@@ -605,18 +785,39 @@ def test_chat_round_trip(spark):
         assert found.turns[0][0] == 0 and all(x[1] == y[0] for x, y in itertools.pairwise(found.turns)) and found.turns[-1][1] == len(found.output)
 
 
-def test_chat_long_and_short_ways_agree():
-    turns = [("user" if k % 2 == 0 else "assistant", f"text {k} \\ ###") for k in range(80)]
-    assert chat.locate(turns, long_turns=10) == chat.locate(turns, long_turns=1000)
-
-
 def test_templates_that_rewrite_history_are_found():
     def last_only(turns):
         return "".join(f"<{r}>{t if k == len(turns) - 1 or r != 'assistant' else '...'}</{r}>" for k, (r, t) in enumerate(turns))
 
     turns = [("user", "a"), ("assistant", "think"), ("user", "b"), ("assistant", "c")]
     assert chat.locate(turns, last_only).rewrites == [2]
-    assert chat.locate(turns * 20, last_only, long_turns=4).rewrites
+    assert chat.locate(turns * 20, last_only).rewrites == list(range(2, 80, 2))
+
+
+@pytest.mark.parametrize("n", [3, 10, 63, 64, 100])
+def test_a_rewrite_at_one_length_only_is_found(n):
+    def loud_at_three(turns):
+        return "".join(f"<{r}>{t.upper() if len(turns) == 3 and k == 0 else t}</{r}>" for k, (r, t) in enumerate(turns))
+
+    found = chat.locate([("user", f"text {k}") for k in range(n)], loud_at_three)
+    assert found.rewrites == [2, 3][: n - 2]
+    assert found.output[slice(*found.texts[-1])] == f"text {n - 1}"
+
+
+def test_common_prefixes():
+    rng = random.Random(2)
+    for _ in range(300):
+        a = "".join(rng.choice("xy") for _ in range(rng.randrange(12)))
+        b = a[: rng.randrange(13)] + "".join(rng.choice("xy") for _ in range(rng.randrange(5)))
+        assert chat._common(a, b) == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_a_context_changes_where_a_text_stands():
+    def numbered(turns):  # the number's width depends on how many turns come before
+        return "".join(f"{k}|{t}|{k}\n" for k, (_, t) in enumerate(turns))
+
+    found = chat.locate([("user", f"t{k}") for k in range(120)], numbered)
+    assert [found.output[a:b] for a, b in found.texts] == [f"t{k}" for k in range(120)]
 
 
 def test_chat_query(spark):
