@@ -1,25 +1,35 @@
 """Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
 
-Pass 1 builds a counting Bloom filter that saturates at two: each text sets SLOTS places of a table of `bits` slots,
+Texts are read once for their SHA-256 digests, which are written to the shared folder; all that follows reads those. Pass 1
+builds a counting Bloom filter that saturates at two: each digest sets SLOTS places of a table of `bits` slots,
 each task sends the counters it touched (summed before the shuffle), and the slots hit twice or more become a bitmap
 of at most bits / 8 bytes. Pass 2 tests each row against that bitmap: a row of which some slot was hit once only is
-surely unique and passes straight through; only the others (all repeated texts and a few per cent of false positives)
-shuffle, as digest and doc_id, and are grouped exactly by SHA-256.
+surely unique and passes straight through; only the others (all repeated texts and about two per cent of false positives)
+shuffle, as digest and doc_id in `groups`, and are grouped exactly by digest. `deduplicated` reads texts a second time, as it
+returns whole rows; there the rows that may be repeated shuffle whole, of each text one a task.
 
-The bitmap is broadcast: its size is bounded by `max_bits` / 8 bytes whatever the input. Beyond max_bits / 16 rows the
-false-positive rate grows, so more rows shuffle; the result stays exact at any fill.
+A bitmap is broadcast: its size is bounded by `max_bits` / 8 bytes whatever the input. Beyond max_bits / 16 rows `groups` deals the
+digests to ranges of their hash, each with a bitmap of its own that doesn't fill, one after the other; `deduplicated` has one
+bitmap, so at such sizes more of its rows shuffle. The result is exact at any fill.
 
-Defined cases: null text counts as empty; rows with null doc_id take part, and lose to any row with one; rows alike in
-doc_id and text are one document, of which one row is kept by `deduplicated`, and all have kept = true in `groups`;
+Digests of a 65536th of the rows in question or more (and of HOT_ROWS) are joined back by broadcast, the others by a shuffle: there
+are at most 65536 of the former, and none of the latter makes a task hot.
+
+Defined cases: null text counts as empty; very long texts count whole; rows with null doc_id take part, and lose to any row with one;
+rows alike in doc_id and text are one document, of which one row is kept by `deduplicated`, and all have kept = true in `groups`;
 an empty table gives an empty result; other columns, whatever their names, are carried by `deduplicated` untouched.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLOTS = 3
+from .common import shared_folder, written
+
+SLOTS, HOT_KEYS, HOT_ROWS = 2, 1 << 16, 256
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 _BUCKET_BITS = 8 * 4096  # of Spark's bitmap functions
 
@@ -60,35 +70,51 @@ def _maybe_repeated(rows: DataFrame, text, bitmap: DataFrame, bits: int) -> Data
     return rows.withColumn("q_maybe", maybe).drop(*(f"q_{n}{k}" for k in range(SLOTS) for n in ("slot", "bucket", "map")))
 
 
-def _text(name: str):
-    return F.coalesce(F.col(name), F.lit(""))
+def _digest(text):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (doc_id, q_sha) plus keep_id and group_size."""
+    tested = _maybe_repeated(rows, F.col("q_sha"), repeated_filter(rows, F.col("q_sha"), bits), bits)
+    alone = tested.where("not q_maybe").select("doc_id", "q_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    maybe = written(tested.where("q_maybe").select("doc_id", "q_sha"), "maybe-repeated")
+    # Pre-aggregated before the shuffle, so that a hot group sends one row a task.
+    best = written(maybe.groupBy("q_sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "repeated")
+    least = max(HOT_ROWS, -(-maybe.count() // HOT_KEYS))
+    hot = F.broadcast(best.where(F.col("group_size") >= least))
+    cold = maybe.join(hot.select("q_sha"), "q_sha", "left_anti").join(best.where(F.col("group_size") < least), "q_sha")
+    columns = ["doc_id", "q_sha", "keep_id", "group_size"]
+    return alone.select(columns).unionByName(cold.select(columns)).unionByName(maybe.join(hot, "q_sha").select(columns))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col).alias("q_text"))
-    bits = filter_bits(rows.count(), max_bits)
-    bitmap = repeated_filter(rows, F.col("q_text"), bits)
-    tested = _maybe_repeated(rows, F.col("q_text"), bitmap, bits).select("doc_id", "q_maybe", F.sha2(F.col("q_text").cast("binary"), 256).alias("text_sha256"))
-    alone = tested.where("not q_maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = tested.where("q_maybe").select("doc_id", "text_sha256")
-    # Pre-aggregated before the shuffle, so that a hot group sends one row a task; the join back is one that
-    # Spark's adaptive execution splits where a text holds many rows.
-    best = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = maybe.join(best, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    return alone.unionByName(again)
+    digests = written(docs.select(F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("q_sha")), "digests")
+    rows = digests.count()
+    ranges = -(-16 * rows // max_bits)
+    bits = filter_bits(-(-rows // max(ranges, 1)), max_bits)
+    if ranges <= 1:
+        found = _grouped(digests, bits)
+    else:
+        path = f"{shared_folder(docs.sparkSession)}/digest-ranges-{uuid.uuid4().hex}"
+        dealt = digests.withColumn("q_range", F.pmod(F.xxhash64(F.lit(-1), "q_sha"), F.lit(ranges)))
+        dealt.write.partitionBy("q_range").parquet(path)
+        dealt, found = docs.sparkSession.read.schema(dealt.schema).parquet(path), None
+        for k in range(ranges):  # a few passes, each over its own folder
+            part = written(_grouped(dealt.where(F.col("q_range") == k).select("doc_id", "q_sha"), bits), "range")
+            found = part if found is None else found.unionByName(part)
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("q_sha")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts the row with the largest doc_id."""
     names = docs.columns
+    digests = written(docs.select(_digest(F.col(f"`{text_col}`")).alias("q_sha")), "digests")
+    bits = filter_bits(digests.count(), max_bits)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("q_row"))
-    text, key = F.coalesce(F.col(f"q_row.`{text_col}`"), F.lit("")), F.col(f"q_row.`{id_col}`")
-    bits = filter_bits(docs.count(), max_bits)
-    bitmap = repeated_filter(packed, text, bits)
-    tested = _maybe_repeated(packed, text, bitmap, bits)
-    alone = tested.where("not q_maybe").select("q_row")
-    maybe = tested.where("q_maybe").select("q_row", F.sha2(text.cast("binary"), 256).alias("q_sha"), key.alias("q_id"))
+    packed = packed.select("q_row", _digest(F.col(f"q_row.`{text_col}`")).alias("q_sha"), F.col(f"q_row.`{id_col}`").alias("q_id"))
+    tested = _maybe_repeated(packed, F.col("q_sha"), repeated_filter(digests, F.col("q_sha"), bits), bits)
     # max_by keeps one row a text and task before the shuffle; null ids come first in order.
-    best = maybe.groupBy("q_sha").agg(F.max_by("q_row", F.struct(F.col("q_id").isNotNull(), F.col("q_id"))).alias("q_row"))
-    return alone.unionByName(best.select("q_row")).select(*(F.col(f"q_row.`{c}`").alias(c) for c in names))
+    best = tested.where("q_maybe").groupBy("q_sha").agg(F.max_by("q_row", F.struct(F.col("q_id").isNotNull(), F.col("q_id"))).alias("q_row"))
+    return tested.where("not q_maybe").select("q_row").unionByName(best.select("q_row")).select(*(F.col(f"q_row.`{c}`").alias(c) for c in names))
