@@ -3,14 +3,14 @@
 A template is a function from turns to one string; nothing else is known of it. The successive prefixes of a
 conversation are rendered and consecutive outputs compared: what a prefix adds to the one before is the turn's span;
 if the earlier output isn't a prefix of the later one, the template rewrites history, and this is reported with the
-place. The text's own span inside its turn is found by rendering the same prefix with two other last texts: what the
-outputs share at both ends is the template's.
-
-From `long_turns` turns on, prefixes start one turn back, which keeps the work in proportion to the conversation; the
-spans must then add up to the whole rendered conversation exactly, or all prefixes are rendered after all.
+place. Every prefix is rendered and compared, at every length, so a template that rewrites at one length only is found
+out; the comparing is native, and the default template keeps each turn's rendered form, so a prefix is one join. The text's own
+span inside its turn is found by rendering two other last texts: what the outputs share at both ends is the template's. These
+probes begin one turn back if the turn adds there exactly what it adds to the whole prefix, else they are rendered after the whole
+prefix too.
 
 Rows are dealt by conversation and sorted by turn (then role and text); one conversation is in memory at a time, as its
-output is one string anyway. Defined cases: null text and role count as empty; rows with null conv_id are one
+output is one string anyway. Its prefixes take work with the square of its turns. Defined cases: very long texts are taken whole; null text and role count as empty; rows with null conv_id are one
 conversation; turns of equal number follow by role and text, repeated rows are repeated turns; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -18,7 +18,6 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Turn = tuple[str, str]
-LONG_TURNS = 64
+KEPT_CHARS = 1 << 26
 OPEN, CLOSE = "### ", "</turn>"
 
 
@@ -45,9 +44,27 @@ def _role(role: str) -> str:
     return re.sub(r"[\\:]|###|</turn>", lambda m: "\\" + m[0], role)
 
 
+class _Rendered(dict):
+    """Each turn as the default template writes it, kept up to KEPT_CHARS."""
+
+    chars = 0
+
+    def __missing__(self, turn: Turn) -> str:
+        if self.chars > KEPT_CHARS:
+            self.clear()
+            self.chars = 0
+        made = f"{OPEN}{_role(turn[0])}: {escaped(turn[1])}{CLOSE}\n"
+        self.chars += len(made)
+        self[turn] = made
+        return made
+
+
+_rendered = _Rendered()
+
+
 def render(turns: list[Turn]) -> str:
     """The default template: `### role: text</turn>` and a new line for each turn."""
-    return "".join(f"{OPEN}{_role(role)}: {escaped(text)}{CLOSE}\n" for role, text in turns)
+    return "".join(map(_rendered.__getitem__, turns))
 
 
 @dataclass
@@ -59,7 +76,17 @@ class Located:
 
 
 def _common(a: str, b: str) -> int:
-    return len(os.path.commonprefix([a, b]))
+    """Length of the longest common prefix, by halving what is compared."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        half = (low + high) // 2
+        if a[low:half] == b[low:half]:
+            low = half
+        else:
+            high = half
+    return low
 
 
 def _inner(before: list[Turn], turn: Turn, output: str, start: int, template: Callable[[list[Turn]], str]) -> tuple[int, int]:
@@ -70,35 +97,25 @@ def _inner(before: list[Turn], turn: Turn, output: str, start: int, template: Ca
     return head, max(len(output) - tail, head)
 
 
-def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render, long_turns: int = LONG_TURNS) -> Located:
-    if len(turns) >= long_turns:
-        parts, found, base = [], Located(""), 0
-        for k in range(len(turns)):
-            before = turns[max(k - 1, 0) : k]
-            earlier, output = template(before) if before else "", template([*before, turns[k]])
-            if not output.startswith(earlier):
-                return _by_prefixes(turns, template)
-            shift = base - len(earlier)
-            a, b = _inner(before, turns[k], output, len(earlier), template)
-            found.turns.append((base, shift + len(output)))
-            found.texts.append((shift + a, shift + b))
-            parts.append(output[len(earlier) :])
-            base = shift + len(output)
-        found.output = template(turns)
-        if "".join(parts) == found.output:
-            return found
-    return _by_prefixes(turns, template)
-
-
-def _by_prefixes(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Located:
+def _text(turns: list[Turn], k: int, output: str, start: int, template: Callable[[list[Turn]], str]) -> tuple[int, int]:
+    """Where in the prefix's output the text of its last turn is."""
+    near = turns[max(k - 1, 0) : k]
+    earlier, later = template(near) if near else "", template([*near, turns[k]])
+    if later.startswith(earlier) and later[len(earlier) :] == output[start:]:
+        a, b = _inner(near, turns[k], later, len(earlier), template)
+        return start + a - len(earlier), start + b - len(earlier)
+    return _inner(turns[:k], turns[k], output, start, template)
+
+
+def locate(turns: list[Turn], template: Callable[[list[Turn]], str] = render) -> Located:
     found, earlier = Located(""), ""
     for k in range(len(turns)):
         output = template(turns[: k + 1])
-        same = _common(earlier, output)
+        same = len(earlier) if output.startswith(earlier) else _common(earlier, output)
         if same < len(earlier):
             found.rewrites.append(k)
         found.turns.append((same, len(output)))
-        found.texts.append(_inner(turns[:k], turns[k], output, same, template))
+        found.texts.append(_text(turns, k, output, same, template))
         earlier = output
     found.output = earlier
     return found
@@ -133,7 +150,7 @@ def _grouped(conversations: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
 
-FORMATTED = "conv_id long, formatted string, turn_spans array<array<int>>, loss_spans array<array<int>>, rewrites_history boolean"
+FORMATTED = "conv_id long, formatted string, turn_spans array<array<long>>, loss_spans array<array<long>>, rewrites_history boolean"
 
 
 def formatted(conversations: DataFrame, template: Callable[[list[Turn]], str] = render, loss_role: str = "assistant") -> DataFrame:
@@ -145,7 +162,7 @@ def formatted(conversations: DataFrame, template: Callable[[list[Turn]], str] =
             mask = [list(s) for (role, _), s in zip(turns, found.texts, strict=True) if role == loss_role]
             yield pa.RecordBatch.from_pylist(
                 [{"conv_id": conv_id, "formatted": found.output, "turn_spans": [list(s) for s in found.turns], "loss_spans": mask, "rewrites_history": bool(found.rewrites)}],
-                schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("turn_spans", pa.list_(pa.list_(pa.int32()))), ("loss_spans", pa.list_(pa.list_(pa.int32()))), ("rewrites_history", pa.bool_())]),
+                schema=pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("turn_spans", pa.list_(pa.list_(pa.int64()))), ("loss_spans", pa.list_(pa.list_(pa.int64()))), ("rewrites_history", pa.bool_())]),
             )
 
     return _grouped(conversations).mapInArrow(run, FORMATTED)
