@@ -2,22 +2,28 @@
 
 Each page is parsed into a tree of block elements; a node's style is its tag, class and id, its path the styles from
 the root. The trees of one host are merged: a path holds how often each child sequence (presentation) and each text
-(content) occurs at it over the host's pages. A text found on n of m pages has entropy ln n / ln m there; a leaf's
+(content) occurs at it over the host's pages. A text found on n of m pages has entropy ln n / ln(m + PRIOR) there; a leaf's
 importance is 1 less the mean entropy of its texts. An inner node joins the entropy of its child sequences with the
-importance of what is below by 1 - GAMMA^children and GAMMA^children. On hosts of MIN_PAGES pages or more, branches that
-are below `least` in importance with all that is below them are removed from each page, in an article as outside.
+importance of what is below by 1 - GAMMA^children and GAMMA^children. Branches that are below `least` in importance with all
+that is below them are removed from each page, in an article as outside. PRIOR stands for pages not seen: on two or three pages
+repetition says little, on many all, and the rule is one for hosts of every size.
 
 Removed on every page, whatever the host: elements that declare themselves as something else than the article, by tag
 (nav, footer, aside, form, script, ...; header outside an article), by role or by a word of their class or id (ad, menu,
 sidebar, cookie, comments, ...), or hidden. A word doesn't remove html, body, main or what holds most of the page's text
 (of its articles and main, if it has any); words for comments only give way around an article or main. Of what the tree leaves, only the articles count if they hold half of the text or
 more, else only main if that does, else all: a teaser in an article doesn't stand for the page. Where the tree leaves no text
-at all, as on hosts that repeat one page, articles and main stay. On hosts of fewer pages and for texts that
-their path doesn't repeat, the tree decides nothing: declared elements and these shares do.
+at all, as on hosts that repeat one page, articles and main stay. For texts that their path doesn't repeat, the tree decides
+nothing: declared elements and these shares do. What is nested more than DEPTH deep counts, stays and goes with its ancestor at that
+depth; no text is lost by this.
 
-Counting is by (host, path, text hash), summed before each shuffle, so a hot host is no hot task. The low branches join
+Parsing takes time in proportion to the page, nested or broken as it may be: open elements are found by their tag, and once quotes
+turn out not to close before the page ends, tags end at the next >.
+
+Counting is by (host, path, text hash), summed before each shuffle, so a hot host is no hot task. The topmost low branches join
 back as one array a host: broadcast up to `broadcast_chars` characters, which is checked, so that pages aren't shuffled;
-beyond that by host and one of `SALTS` salts, so that a hot host's pages are dealt to many tasks. Defined cases: null or empty html gives empty text; null urls have an empty host; text
+beyond that by host and one of `SALTS` salts, so that a hot host's pages are dealt to many tasks. Defined cases: very long pages are
+taken whole; null or empty html gives empty text; null urls have an empty host; text
 outside any block is a block of its parent; repeated rows each get their answer; an empty table gives an empty result;
 extra columns are ignored.
 """
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-GAMMA, LEAST, MIN_PAGES, DEPTH = 0.9, 0.3, 8, 24
+GAMMA, LEAST, PRIOR, DEPTH = 0.9, 0.3, 8, 24
 BROADCAST_CHARS, SALTS = 8 << 20, 64
 # Elements and words by their role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
@@ -47,7 +53,8 @@ WORDS = frozenset("ad ads adv advert advertisement advertising adverts banner br
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
 WORD, COMMENT, SURE = 1, 2, 3  # how an element declares itself: by a word, by one for comments, by tag, role or hidden
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>"']++|"[^"]*"|'[^']*')*+)>""")  # a tag's attributes to its end, > in quotes passed over
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -69,6 +76,30 @@ class Block:
     node: Node
 
 
+def _tags(page: str, jump: list[int]) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it closes, and attributes of each tag; comments and declarations have no name. None begins before jump[0]."""
+    at, quotes = page.find("<"), True
+    while at >= 0:
+        stop, name, rest = -1, _NAME.match(page, at), None
+        if name:
+            rest = _REST.match(page, name.end()) if quotes else None
+            quotes = rest is not None
+            stop = rest.end() if rest else page.find(">", name.end()) + 1
+            if not stop:
+                return
+            yield at, stop, name[1].lower(), page[at + 1] == "/", rest[1] if rest else page[name.end() : stop - 1]
+        elif page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) + 3
+            stop = stop if stop > 2 else len(page)
+            yield at, stop, "", False, ""
+        elif page.startswith(("<!", "<?"), at):
+            stop = page.find(">", at) + 1
+            if not stop:
+                return
+            yield at, stop, "", False, ""
+        at = page.find("<", max(stop, at + 1, jump[0]))
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
@@ -127,7 +158,8 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
     """Text blocks in page order, and all block elements."""
     root = Node("", "", False, 0)
     stack: list[tuple[str, Node, int]] = [("", root, 0)]
-    blocks, nodes, parts, at, skipping = [], [root], [], 0, 0
+    places: dict[str, list[int]] = {}  # of each tag, where it is open in the stack
+    blocks, nodes, parts, at, jump = [], [root], [], 0, [0]
     inline: list[str] = []  # inline elements that declare themselves as something else
 
     def flush() -> None:
@@ -137,24 +169,21 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
             blocks.append(Block(text, stack[-1][1]))
 
     def close(tag: str) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-
-    for m in _TAG.finditer(page):
-        if m.start() < skipping:
-            continue
-        if m.start() > at and not inline:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        if places.get(tag):
+            k = places[tag][-1]
+            for other, _, _ in stack[k:]:
+                places[other].pop()
+            del stack[k:]
+
+    for start, stop, tag, ends, raw in _tags(page, jump):
+        if start > at and not inline:
+            parts.append(page[at:start])
+        at = stop
         if not tag:
             continue
-        ends, raw = m[1] or m[4], m[3] if m[2] else m[6]
         if tag in RAW and not ends:
             found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = skipping = found.end() if found else len(page)
+            at = jump[0] = found.end() if found else len(page)
             if tag == "textarea" or tag in BLOCKS:
                 flush()
             continue
@@ -174,11 +203,11 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
         if ends:
             close(tag)
             continue
-        if stack[-1][0] == "p" or any(t == "p" for t, *_ in stack) and tag == "p":
+        if stack[-1][0] == "p" or tag == "p":
             close("p")
         for other in CLOSED_BY.get(tag, ()):
             if stack[-1][0] == other:
-                stack.pop()
+                close(other)
         if tag == "hr":
             continue
         given, parent = _attributes(raw), stack[-1][1]
@@ -188,6 +217,7 @@ def parsed(page: str) -> tuple[list[Block], list[Node]]:
         path = f"{parent.path}/{style}" if len(stack) <= DEPTH else parent.path
         node = Node(style, path, False, article, declared, stack[-1][2])
         parent.children.append(style)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, node, len(nodes)))
         nodes.append(node)
     if at < len(page) and not inline:
@@ -250,7 +280,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     counts = seen.groupBy("host", "path", "kind", F.xxhash64("value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("width"))
     on = counts.groupBy("host", "path", "kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("width").alias("width"))
     # kind 0: 1 - mean of ln n_a / ln m over occurrences; kind 1: -sum p ln p / ln m = (ln m - nlogn / m) / ln m
-    even = F.when(F.col("n") > 1, F.col("nlogn") / F.col("n") / F.log("n")).otherwise(0.0)
+    # both with ln(m + PRIOR) for ln m.
+    even = F.col("nlogn") / F.col("n") / F.log(F.col("n") + F.lit(PRIOR))
     # Read twice below; written, so that pages are parsed once for the tree.
     own = written(on.select("host", "path", "kind", "n", "width", (1 - even).alias("importance")), "style-tree")
     below = own.where("kind = 0").select("host", F.explode(_above()).alias("path"), "n", "importance").groupBy("host", "path").agg(F.max("n").alias("pages"), (F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("content"))
@@ -259,11 +290,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return below.join(look, ["host", "path"], "left").select("host", "path", "pages", ((1 - share) * F.coalesce("look", F.lit(0.0)) + share * F.col("content")).alias("importance"))
 
 
-def low_branches(tree: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, low): the paths of low importance that have no other path below, one row a host."""
-    rows = tree.withColumn("low", (F.col("pages") >= min_pages) & (F.col("importance") < least))
+def low_branches(tree: DataFrame, least: float = LEAST) -> DataFrame:
+    """(host, low): the topmost paths of low importance that have no other path below, one row a host."""
+    rows = tree.withColumn("low", F.col("importance") < least)
     whole = rows.select("host", F.explode(_above()).alias("path"), "low").groupBy("host", "path").agg(F.bool_and("low").alias("low"))
-    return whole.where(F.col("low") & (F.col("path") != "")).groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
+    below = written(whole.where(F.col("low") & (F.col("path") != "")).select("host", "path"), "low-paths")
+    above = below.select(F.col("host").alias("above_host"), F.col("path").alias("above_path"))
+    parent = F.expr("left(path, length(path) - length(substring_index(path, '/', -1)) - 1)")
+    top = below.join(above, (F.col("host") == F.col("above_host")) & (parent == F.col("above_path")), "left_anti")
+    return top.groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("low"))
 
 
 def host_of(url):
@@ -279,10 +314,10 @@ def with_low(rows: DataFrame, low: DataFrame, broadcast_chars: int) -> DataFrame
     return salted.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
 
 
-def extracted(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def extracted(pages: DataFrame, least: float = LEAST, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = written(low_branches(style_tree(rows), least, min_pages), "low-branches")
+    low = written(low_branches(style_tree(rows), least), "low-branches")
 
     def run(batches):
         for batch in batches:
