@@ -3,10 +3,11 @@
 A document is its token ids and one end id. Only one longer than a sequence is cut, into whole sequences; its first
 piece takes the remainder. Pieces are dealt to tasks by hash, about `task_rows` a task, and arrive there in falling
 order of length. Each task keeps at most `open_bins` open bins; a bitset keyed by free space gives the bin with the least
-space that is enough. A full bin closes; when a bin must be opened beyond the limit, the fullest closes first. What a
-task holds is the open bins, whatever the input; a piece's place is final when it arrives.
+space that is enough. A full bin closes; when a bin must be opened beyond the limit, the fullest closes first, which happens while the
+long pieces arrive: of those, each opens a bin. What a task holds is the open bins, whatever the input; a piece's place is final
+when it arrives.
 
-Defined cases: null text counts as empty, so the document is its end id; repeated rows are packed each; null doc_id
+Defined cases: very long texts are cut whole, their pieces one after the other; null text counts as empty, so the document is its end id; repeated rows are packed each; null doc_id
 is packed like any other; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .bpe import SLICE, encoder
 from .common import slices, text_buffers, written
 
-SEQUENCE, END_ID, OPEN_BINS, TASK_ROWS, MOST_TASKS = 2048, 0, 4096, 8192, 8192
+SEQUENCE, END_ID, OPEN_BINS, TASK_ROWS, MOST_TASKS = 2048, 0, 1536, 8192, 8192
 
 
 class BestFit:
