@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, exact_dedup, htmltext, minhash, packing, quality, rollups, secretscan, urlfilter
-from .common import shared_folder
+from .common import shared_folder, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +20,16 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after a batch that inserts all documents and its second delivery."""
+    """Totals after a batch that inserts all documents, its second delivery, one that withdraws the toxic ones, and one that counts
+    all that are labelled anew: revisions, and inserts of those withdrawn. What counts in the end is each document once."""
     rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
-    changes = rollups.counted(table(spark, sf_dir, "documents"), bpe.default_path())
-    rollup.apply("documents", changes)
-    rollup.apply("documents", changes)
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    changes = written(rollups.counted(docs, bpe.default_path()), "counted")
+    rollup.apply("load", changes)
+    rollup.apply("load", changes)
+    named = labels.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
+    rollup.apply("withdrawn", changes.join(named.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    rollup.apply("recounted", changes.join(named.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("op", F.lit("revise")))
     return rollup.totals()
 
 

@@ -2,19 +2,27 @@
 
 A batch of changes (op insert, delete or revise; doc_id, version, source, lang, n_tokens) is turned into signed entries
 against the ledger: an insert adds a document and its tokens, a delete takes away what the ledger holds, a revision
-does both. The entries go to ledger/batch=<id>, their sums by source, language and tokenizer version to
-deltas/batch=<id>, and last a marker to commits/batch=<id>. Only marked batches are read, so a batch that broke off
-leaves nothing and is written over when it is delivered again; a marked batch that is delivered again changes nothing.
-Totals are the sums of the deltas: no batch reads documents of another.
-
-Defined cases: an insert of a document that is there counts as a revision, a revision of one that isn't as an insert, a
-delete of one that isn't as nothing; changes of equal doc_id and version in one batch are one, the largest (op, n_tokens,
-source, lang) holds; null source, lang and doc_id are values like others; null n_tokens counts as 0; an empty batch is committed and
-changes nothing; totals that fall to no documents leave the result; extra columns are ignored.
+does both. Each attempt writes its entries and their sums by source, language and tokenizer version to folders of its own, and
+last a marker commits/<batch> that names the attempt, created only where there is none. So a batch that broke off leaves nothing that
+counts, a batch that is delivered again changes nothing, and of two writers of one batch one counts. Different batches are
+applied one after the other.
+
+Totals are the sums of the deltas; they read no documents. A batch joins its changes with the ledger, which is the last
+snapshot and the batches after it; every `COMPACT` batches a snapshot sums up what came before, so neither the ledger nor the
+listing of markers grows with the number of batches.
+
+Defined cases: doc_ids are compared as strings; a change without a doc_id can't be found again, so an insert or revision of it counts as a
+document of its own, each row, and a delete of it as nothing; an insert of a document that is there counts as a revision, a revision
+of one that isn't as an insert, a delete of one that isn't as nothing; changes of equal doc_id and version in one batch are one, the
+largest (op, n_tokens, source, lang) holds, so repeated rows count once; null source and lang are values like others; null n_tokens and
+null texts count as 0; very long texts are counted whole; an empty batch is committed and changes nothing; totals that fall to no
+documents leave the result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +33,9 @@ from .common import slices, text_buffers
 from .wordhash import words_of
 
 KEYS = ["source", "lang", "version"]
-ENTRIES = "doc_id long, version string, source string, lang string, n_tokens long, sign long"
+ENTRIES = "doc_id string, version string, source string, lang string, n_tokens long, sign long"
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long"
+COMPACT = 32
 WORDS_VERSION, BPE_VERSION = "words/1", "byte_bpe_50k/1"
 
 
@@ -46,56 +55,101 @@ def counted(docs: DataFrame, tokenizer: str) -> DataFrame:
                 same = [pa.array([x] * batch.num_rows, pa.string()) for x in ("insert", version)]
                 yield pa.RecordBatch.from_arrays([same[0], batch.column(0), same[1], batch.column(1), batch.column(2), pa.array(np.concatenate(n), pa.int64())], ["op", "doc_id", "version", "source", "lang", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text").mapInArrow(run, "op string, doc_id long, version string, source string, lang string, n_tokens long")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "lang", "text").mapInArrow(run, "op string, doc_id string, version string, source string, lang string, n_tokens long")
 
 
 class Rollup:
     """Totals under a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, compact: int = COMPACT):
+        self.spark, self.folder, self.compact_at = spark, folder.rstrip("/"), compact
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, part: str) -> list[str]:
+        at = self._path(f"{self.folder}/{part}")
+        return sorted(s.getPath().getName() for s in self._files.listStatus(at)) if self._files.exists(at) else []
+
+    def _said(self, path: str) -> str:
+        stream = self._files.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _say(self, path: str, text: str) -> bool:
+        """Writes a small file where there is none; False where there is one."""
+        try:
+            stream = self._files.create(self._path(path), False)
+        except Exception as wrong:  # who came first counts
+            if self._files.exists(self._path(path)):
+                return False
+            raise wrong
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
 
-    def _there(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The last snapshot's folder and the batches it sums up."""
+        whole = [n for n in self._names("snapshots") if self._files.exists(self._path(f"{self.folder}/snapshots/{n}/covers"))]
+        if not whole:
+            return None, set()
+        path = f"{self.folder}/snapshots/{max(whole, key=lambda n: int(n.split('-')[0]))}"
+        return path, set(self._said(f"{path}/covers").split("\n"))
 
     def committed(self) -> list[str]:
-        """Names of the batches that count; a marker is a written folder of its own."""
-        top = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
-        files = top.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(top):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(top)]
-        return sorted(n.removeprefix("batch=") for n in names if self._there(f"{self.folder}/commits/{n}/_SUCCESS"))
+        """Names of the batches that count."""
+        return self._names("commits")
 
     def _read(self, part: str, schema: str) -> DataFrame:
-        paths = [f"{self.folder}/{part}/batch={b}" for b in self.committed()]
+        base, covered = self._snapshot()
+        paths = [f"{base}/{part}"] if base else []
+        paths += [f"{self.folder}/attempts/{self._said(f'{self.folder}/commits/{b}')}/{part}" for b in self.committed() if b not in covered]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         """What is counted now, by document and version."""
-        entries = self._read("ledger", ENTRIES)
-        return entries.groupBy("doc_id", *KEYS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens")).where("n > 0").drop("n")
+        return self._netted().where("n > 0").select("doc_id", *KEYS, (F.col("n_tokens") / F.col("n")).cast("long").alias("n_tokens")).where("doc_id is not null")
+
+    def _netted(self) -> DataFrame:
+        return self._read("ledger", ENTRIES).where("doc_id is not null").groupBy("doc_id", *KEYS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens."""
         return self._read("deltas", DELTAS).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0")
 
-    def apply(self, batch: str, changes: DataFrame) -> bool:
-        """False if the batch had been committed before."""
-        if batch in self.committed():
-            return False
-        named = changes.select("doc_id", "version", F.struct("op", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), "source", "lang").alias("change"))
-        one = named.groupBy("doc_id", "version").agg(F.max("change").alias("change")).select("doc_id", "version", "change.*")
+    def snapshot(self) -> None:
+        """Sums up all batches committed so far; later reads begin there."""
+        batches, number = self.committed(), len(self._names("snapshots"))
+        path = f"{self.folder}/snapshots/{number}-{uuid.uuid4().hex}"
+        self.ledger().select("doc_id", "version", "source", "lang", "n_tokens", F.lit(1).cast("long").alias("sign")).write.parquet(f"{path}/ledger")
+        self.totals().select("source", "lang", "version", "n_docs", "n_tokens").write.parquet(f"{path}/deltas")
+        self._say(f"{path}/covers", "\n".join(batches))
+
+    def _entries(self, changes: DataFrame) -> DataFrame:
+        named = changes.select(F.col("doc_id").cast("string").alias("doc_id"), "version", F.struct("op", F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), "source", "lang").alias("change"))
+        one = named.where("doc_id is not null").groupBy("doc_id", "version").agg(F.max("change").alias("change")).select("doc_id", "version", "change.*")
         old = self.ledger().select(F.col("doc_id").alias("o_doc"), F.col("version").alias("o_version"), F.col("source").alias("o_source"), F.col("lang").alias("o_lang"), F.col("n_tokens").alias("o_tokens"))
-        met = one.join(old, F.col("doc_id").eqNullSafe(F.col("o_doc")) & F.col("version").eqNullSafe(F.col("o_version")), "left")
+        met = one.join(old, (F.col("doc_id") == F.col("o_doc")) & F.col("version").eqNullSafe(F.col("o_version")), "left")
         there = F.col("o_tokens").isNotNull()
         out = F.when(there, F.struct("doc_id", "version", F.col("o_source").alias("source"), F.col("o_lang").alias("lang"), F.col("o_tokens").alias("n_tokens"), F.lit(-1).cast("long").alias("sign")))
         into = F.when(F.col("op") != "delete", F.struct("doc_id", "version", "source", "lang", "n_tokens", F.lit(1).cast("long").alias("sign")))
         entries = met.select(F.explode(F.array_compact(F.array(out, into))).alias("e")).select("e.*")
-        entries.write.mode("overwrite").parquet(f"{self.folder}/ledger/batch={batch}")
-        written = self.spark.read.schema(ENTRIES).parquet(f"{self.folder}/ledger/batch={batch}")
-        sums = written.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.folder}/deltas/batch={batch}")
-        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/commits/batch={batch}")
+        nameless = named.where("doc_id is null and change.op <> 'delete'").select("doc_id", "version", "change.source", "change.lang", "change.n_tokens", F.lit(1).cast("long").alias("sign"))
+        return entries.unionByName(nameless)
+
+    def apply(self, batch: str, changes: DataFrame) -> bool:
+        """False if the batch had been committed before."""
+        if batch in self.committed():
+            return False
+        attempt = uuid.uuid4().hex
+        path = f"{self.folder}/attempts/{attempt}"
+        self._entries(changes).write.parquet(f"{path}/ledger")
+        made = self.spark.read.schema(ENTRIES).parquet(f"{path}/ledger")
+        sums = made.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+        sums.write.parquet(f"{path}/deltas")
+        if not self._say(f"{self.folder}/commits/{batch}", attempt):
+            return False
+        if len(self.committed()) - len(self._snapshot()[1]) >= self.compact_at:
+            self.snapshot()
         return True
