@@ -7,10 +7,10 @@ vectors and index vectors, the share of distinct words, of words that repeat one
 logarithm of its length. A network of one hidden layer is fitted to the labels and its logit divided by a temperature
 fitted on rows that the weights did not see.
 
-Fitted on the driver from a bounded sample of labelled rows: at most `max_rows` rows (those least by hash) and
-`max_chars` characters of text. Every text is scored whole. Never inputs: labels, lang, source, doc_id.
+Fitted on the driver from a bounded sample of labelled rows: at most `max_rows` rows (those least by hash, of the first 4 x `max_rows`
+labels) and `max_chars` characters of text; a text that alone is longer isn't taken. Every text is scored whole. Never inputs: labels, lang, source, doc_id.
 
-Defined cases: null and empty texts have all features 0 and get the network's answer to that; without labels every
+Defined cases: a very long text is scored whole, alone in its slice; null and empty texts have all features 0 and get the network's answer to that; without labels every
 score is 0.5; labels whose quality is null or whose document is missing are ignored, and of a document labelled twice
 the higher quality holds; a null doc_id isn't held out; extra columns are ignored by `scores` and carried untouched by `kept`.
 """
@@ -200,21 +200,26 @@ def held_out(id_):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """From labels (doc_id, quality) of rows that aren't held out."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
-    # Each label is one row; a document labelled twice is folded after the sample is drawn.
-    sample = usable.select(F.col("doc_id").alias("q_id"), F.col("quality").cast("int").alias("q_label"), F.xxhash64("doc_id").alias("q_order")).orderBy("q_order", "q_id", "q_label").limit(max_rows)
+    # Each label is one row; a document labelled twice is folded after the sample is drawn. More labels than rows are drawn, as some may have no document.
+    sample = usable.select(F.col("doc_id").alias("q_id"), F.col("quality").cast("int").alias("q_label"), F.xxhash64("doc_id").alias("q_order")).orderBy("q_order", "q_id", "q_label").limit(4 * max_rows)
     sample = sample.groupBy("q_id", "q_order").agg(F.max("q_label").alias("q_label"))
-    # At most max_rows rows of three numbers are broadcast.
+    # At most 4 x max_rows rows of three numbers are broadcast.
     drawn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("q_id"))
-    sizes = drawn.select("q_order", "doc_id", F.length("text").alias("n")).orderBy("q_order", "doc_id").limit(2 * max_rows).collect()
+    # Texts that alone pass the bound are left out; rows alike in doc_id and text are one.
+    fits = drawn.where(F.length("text") <= max_chars).withColumn("q_text", F.xxhash64("text"))
+    sizes = fits.groupBy("q_order", "doc_id", "q_text").agg(F.max(F.length("text")).alias("n")).orderBy("q_order", "doc_id", "q_text").limit(max_rows).collect()
     total, last = 0, None
     for r in sizes:
         total += r["n"]
         if total > max_chars:
             break
-        last = r["q_order"]
+        last = (r["q_order"], r["doc_id"], r["q_text"])
     if last is None:
         return Model()
-    rows = drawn.where(F.col("q_order") <= last).select("doc_id", "text", "q_label", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).alias("fold")).limit(2 * max_rows).collect()
+    order, doc_id, text = (F.lit(x) for x in last)
+    within = (F.col("q_order") < order) | (F.col("q_order") == order) & ((F.col("doc_id") < doc_id) | (F.col("doc_id") == doc_id) & (F.col("q_text") <= text))
+    rows = fits.where(within).groupBy("q_order", "doc_id", "q_text").agg(F.min("text").alias("text"), F.max("q_label").alias("q_label"))
+    rows = rows.select("doc_id", "text", "q_label", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).alias("fold")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"].encode() for r in rows], np.array([r["q_label"] for r in rows]), np.array([r["fold"] == 1 for r in rows]))
 
