@@ -649,9 +649,23 @@ def test_contamination_equals_brute_force(spark, block_words):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == brute_contamination(docs, items)
 
 
-def test_clean_keeps_columns_and_rows(spark, odd):
+def test_many_windows_of_one_rarest_shingle():
+    """Short windows that share all their shingles, and a benchmark that repeats itself."""
+    items = [(str(k), "a b c d e") for k in range(50)] + [(f"x{k}", "a b c d e f g " + "hij"[k % 3]) for k in range(30)] + [("r", "a b " * 300)]
+    index = decontaminate.Index(items)
+    index.order(np.zeros(len(index.known), np.int64))
+    text = b"a b c d e f g h q a b a b a b a b a b c d e"
+    found = words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    got = {(first, index.windows[w]) for _, first, w in index.matches(found)}
+    own = text.split()
+    assert got == {(k, w) for w in index.windows for k in range(len(own)) if b" ".join(own[k : k + w.count(b" ") + 1]) == w}
+    assert index.items_of(index.windows.index(b"a b c d e")) == [str(k) for k in range(50)]
+
+
+@pytest.mark.parametrize("block_words", [500_000, 8])
+def test_clean_keeps_columns_and_rows(spark, odd, block_words):
     bench = spark.createDataFrame([(1, "same text here"), (2, "text here"), (3, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")
-    left = decontaminate.clean(odd, bench)
+    left = decontaminate.clean(odd, bench, block_words=block_words)
     assert left.columns == odd.columns and sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 1, 2, 6, 7, 8]
     assert decontaminate.clean(odd, bench.limit(0)).count() == 10 and decontaminate.clean(odd.limit(0), bench).count() == 0
 
