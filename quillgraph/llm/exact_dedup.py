@@ -46,8 +46,21 @@ def _slots(text, bits: int):
 def repeated_filter(texts: DataFrame, text, bits: int) -> DataFrame:
     """Bitmap of the slots that two or more rows hit: (q_bucket, q_map), at most bits / 32768 rows of 4 KB."""
     slots = texts.select(F.explode(F.array(*_slots(text, bits))).alias("q_slot"))
-    twice = slots.groupBy("q_slot").agg(F.count(F.lit(1)).alias("q_n")).where("q_n >= 2")
-    return twice.groupBy(F.expr("bitmap_bucket_number(q_slot)").alias("q_bucket")).agg(
+    return _bitmap(slots.groupBy("q_slot").agg(F.count(F.lit(1)).alias("q_n")).where("q_n >= 2"))
+
+
+def bitmap_of(values: DataFrame, value, bits: int) -> DataFrame:
+    """Bitmap of the slots of all values: a plain Bloom filter."""
+    return _bitmap(values.select(F.explode(F.array(*_slots(value, bits))).alias("q_slot")))
+
+
+def maybe_in(rows: DataFrame, value, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose value's slots are all in the bitmap."""
+    return _maybe_repeated(rows, value, bitmap, bits).where("q_maybe").drop("q_maybe")
+
+
+def _bitmap(slots: DataFrame) -> DataFrame:
+    return slots.groupBy(F.expr("bitmap_bucket_number(q_slot)").alias("q_bucket")).agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(q_slot))").alias("q_map")
     )
 

@@ -7,8 +7,8 @@ size of the corpus and neither do the weights' range and the rule. The factor of
 make shingles that no other text holds, the heaviest there are, so undamped weights would let a few edits of a
 long text outweigh all that it shares; damped, rare shingles still count up to about twice a common one.
 
-`HASHES` consistent weighted samples (Ioffe 2010) a text are cut into bands of `ROWS`; texts that share a band fall
-into a bucket. Every member of a bucket is held against one leader, the one whose buckets hold most texts (what a group of
+`HASHES` consistent weighted samples (Ioffe 2010) a text, 16 bits of each, are cut into bands of `ROWS`; texts that share a band fall
+into a bucket (its number ends in the band's). Every member of a bucket is held against one leader, the one whose buckets hold most texts (what a group of
 copies was made from), and links join into classes by repeated minimum labels; buckets that still hold more than a block outside
 their largest class get a second leader from there. After that only
 buckets that hold several classes count, and in them only pairs across classes. The members outside a bucket's largest
@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers, written
+from .exact_dedup import bitmap_of, filter_bits, maybe_in
 from .wordhash import gram_rows, grams, mix, words_of
 
 SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
@@ -48,7 +49,7 @@ SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
 AGREE, TASK_LINKS = 50, 200_000
 LEAST_BLOCK, MOST_BLOCK, UNIT_BYTES = 512, 8192, 4096
 HOT_BUCKETS, HOT_ROWS, SMALL_MAP = 1 << 16, 256, 200_000
-COUNTERS = 1 << 20
+COUNTERS, BANDS = 1 << 20, 32  # a power of two above the number of bands
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, (HASHES, 3), np.uint32)
 
 
@@ -186,7 +187,7 @@ def _sketch(idf):
                 shingles, counts, first, keys = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 full = np.diff(first) > 0
                 sig = samples(shingles, counts * table[counter_of(shingles)], first[:-1][full]) if full.any() else np.empty((0, HASHES), np.uint32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * HASHES))).astype(np.int32)), pa.array(np.ascontiguousarray(sig).ravel().view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * HASHES))).astype(np.int32)), pa.array(sig.astype(np.uint16).ravel().view(np.int16)))
                 units = 1 + np.diff(offsets[a : b + 1]) // UNIT_BYTES
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(keys, pa.binary()), lists, pa.array(units, pa.int64())], ["doc_id", "words_key", "samples", "units"])
 
@@ -246,7 +247,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 class _Linker:
-    """Finds the links of the buckets' members (band, bucket, node, size, units) and keeps what has been answered."""
+    """Finds the links of the buckets' members (bucket, node, size) and keeps what has been answered."""
 
     def __init__(self, rows: DataFrame, texts: DataFrame, members: DataFrame, hot: int, idf, threshold: float):
         self.rows, self.texts, self.hot, self.idf, self.threshold = rows, texts, hot, idf, threshold
@@ -267,9 +268,9 @@ class _Linker:
         """Members of buckets that hold several classes, with their class; made anew when classes have changed."""
         if self.known is not None:
             return self.known
-        named = self.members.join(self.labels, "node", "left").select("band", "bucket", "node", "size", "units", "weight", F.coalesce("label", "node").alias("label"))
+        named = self.members.join(self.labels, "node", "left").select("bucket", "node", "size", "weight", F.coalesce("label", "node").alias("label"))
         several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("size").alias("size")).where("x <> y").select("bucket", "size")
-        self.known = written(self.with_bucket(named, several), "mixed")
+        self.known = written(self.with_bucket(named, several).join(self.texts.select("node", "units"), "node"), "mixed")
         return self.known
 
     def link(self, more: DataFrame) -> None:
@@ -328,7 +329,7 @@ class _Linker:
         main, spread = F.col("label") == F.col("largest"), F.xxhash64("node")
         own = F.when(main, F.pmod(spread, "n1")).otherwise(F.col("n1") + F.pmod(spread, "n2"))
         others = F.sequence(F.when(main, F.col("n1")).otherwise(F.lit(0)), F.col("n1") + F.col("n2") - 1)
-        placed = self.with_bucket(named, shapes).select("band", "bucket", "node", "label", own.alias("block"), F.explode(others).alias("other"))
+        placed = self.with_bucket(named, shapes).select(F.col("bucket").bitwiseAND(BANDS - 1).cast("int").alias("band"), "bucket", "node", "label", own.alias("block"), F.explode(others).alias("other"))
         parts = placed.select("band", "bucket", "node", "label", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
         held = parts.join(self.texts.select("node", "samples"), "node")
         near = written(held.groupBy("bucket", "p", "q").applyInArrow(_near, held.schema), "near")
@@ -411,13 +412,16 @@ def _similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndar
 
 
 def sized(spread: DataFrame) -> tuple[DataFrame, int]:
-    """spread with the size of each bucket of two or more, and the size from which a bucket is hot."""
+    """spread (bucket, node) with the size of each bucket of two or more, and the size from which a bucket is hot."""
     sizes = written(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size >= 2"), "sizes")
-    members = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
-    hot = max(HOT_ROWS, -(-members // HOT_BUCKETS))
+    known = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("members"), F.count(F.lit(1)).alias("buckets")).first()
+    hot = max(HOT_ROWS, -(-known["members"] // HOT_BUCKETS))
+    # Most bands are one text's only; a bitmap of the others (32 MB at most) keeps those from being shuffled.
+    bits = filter_bits(known["buckets"])
+    near = maybe_in(spread, F.col("bucket"), bitmap_of(sizes, F.col("bucket"), bits), bits)
     warm = F.broadcast(sizes.where(F.col("size") >= hot))
-    cold = spread.join(warm.select("bucket"), "bucket", "left_anti").join(sizes.where(F.col("size") < hot), "bucket")
-    return written(cold.unionByName(spread.join(warm, "bucket")), "members"), hot
+    cold = near.join(warm.select("bucket"), "bucket", "left_anti").join(sizes.where(F.col("size") < hot), "bucket")
+    return written(cold.unionByName(near.join(warm, "bucket")), "members"), hot
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -426,10 +430,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     named = rows.where("doc_id is not null")
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(rows.select("text")))
-    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<int>, units long"), "sketches")
+    sketches = written(named.mapInArrow(_sketch(idf), "doc_id long, words_key binary, samples array<smallint>, units long"), "sketches")
     texts = written(sketches.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.first("samples").alias("samples"), F.max("units").alias("units")), "nodes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.slice("samples", j * ROWS + 1, ROWS)))
-    spread = texts.where(F.size("samples") > 0).select(F.posexplode(bands).alias("band", "bucket"), "node", "units")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), lambda j: F.xxhash64(j, F.slice("samples", j * ROWS + 1, ROWS)).bitwiseAND(-BANDS).bitwiseOR(j))
+    spread = texts.where(F.size("samples") > 0).select(F.explode(bands).alias("bucket"), "node")
     members, hot = sized(spread)
     linker = _Linker(named, texts, members, hot, idf, threshold)
     linker.run()

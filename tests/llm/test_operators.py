@@ -425,8 +425,8 @@ def test_near_links_against_all_pairs_by_plain_dictionaries(spark, blocks, monke
 def test_blocks_answer_each_pair_across_classes_once():
     rng = np.random.default_rng(3)
     n = 90
-    base = rng.integers(0, 1 << 31, minhash.HASHES)
-    sig = np.where(rng.random((n, minhash.HASHES)) < rng.uniform(0.05, 0.4, n)[:, None], rng.integers(0, 1 << 31, (n, minhash.HASHES)), base).astype(np.int32)
+    base = rng.integers(0, 1 << 15, minhash.HASHES)
+    sig = np.where(rng.random((n, minhash.HASHES)) < rng.uniform(0.05, 0.4, n)[:, None], rng.integers(0, 1 << 15, (n, minhash.HASHES)), base).astype(np.int16)
     label, block = rng.integers(0, 60, n), rng.integers(0, 4, n)
     want = {(i, j) for i, j in itertools.combinations(range(n), 2) if label[i] != label[j] and (sig[i] == sig[j]).sum() >= minhash.AGREE}
     found = []
@@ -434,7 +434,7 @@ def test_blocks_answer_each_pair_across_classes_once():
         for q in range(p, 4):
             at = np.flatnonzero((block == p) | (block == q))
             if len(at):
-                part = pa.table({"band": np.zeros(len(at), int), "p": np.full(len(at), p), "q": np.full(len(at), q), "label": label[at], "block": block[at], "samples": pa.array(sig[at].tolist(), pa.list_(pa.int32()))})
+                part = pa.table({"band": np.zeros(len(at), int), "p": np.full(len(at), p), "q": np.full(len(at), q), "label": label[at], "block": block[at], "samples": pa.array(sig[at].tolist(), pa.list_(pa.int16()))})
                 found += [tuple(sorted((int(at[i]), int(at[j])))) for i, js in minhash._candidates(part) for j in js]
     assert len(want) > 200 and len(found) == len(set(found)) and set(found) == want
 
