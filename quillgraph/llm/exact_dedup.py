@@ -56,7 +56,7 @@ def bitmap_of(values: DataFrame, value, bits: int) -> DataFrame:
 
 def maybe_in(rows: DataFrame, value, bitmap: DataFrame, bits: int) -> DataFrame:
     """The rows whose value's slots are all in the bitmap."""
-    return _maybe_repeated(rows, value, bitmap, bits).where("q_maybe").drop("q_maybe")
+    return tested_by(rows, value, bitmap, bits).where("q_maybe").drop("q_maybe")
 
 
 def _bitmap(slots: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def _bitmap(slots: DataFrame) -> DataFrame:
     )
 
 
-def _maybe_repeated(rows: DataFrame, text, bitmap: DataFrame, bits: int) -> DataFrame:
+def tested_by(rows: DataFrame, text, bitmap: DataFrame, bits: int) -> DataFrame:
     """rows plus boolean q_maybe, by a lookup of each slot in the broadcast bitmap."""
     hits = []
     for k, slot in enumerate(_slots(text, bits)):
@@ -89,7 +89,7 @@ def _digest(text):
 
 def _grouped(rows: DataFrame, bits: int) -> DataFrame:
     """rows (doc_id, q_sha) plus keep_id and group_size."""
-    tested = _maybe_repeated(rows, F.col("q_sha"), repeated_filter(rows, F.col("q_sha"), bits), bits)
+    tested = tested_by(rows, F.col("q_sha"), repeated_filter(rows, F.col("q_sha"), bits), bits)
     alone = tested.where("not q_maybe").select("doc_id", "q_sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     maybe = written(tested.where("q_maybe").select("doc_id", "q_sha"), "maybe-repeated")
     # Pre-aggregated before the shuffle, so that a hot group sends one row a task.
@@ -127,7 +127,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = filter_bits(digests.count(), max_bits)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("q_row"))
     packed = packed.select("q_row", _digest(F.col(f"q_row.`{text_col}`")).alias("q_sha"), F.col(f"q_row.`{id_col}`").alias("q_id"))
-    tested = _maybe_repeated(packed, F.col("q_sha"), repeated_filter(digests, F.col("q_sha"), bits), bits)
+    tested = tested_by(packed, F.col("q_sha"), repeated_filter(digests, F.col("q_sha"), bits), bits)
     # max_by keeps one row a text and task before the shuffle; null ids come first in order.
     best = tested.where("q_maybe").groupBy("q_sha").agg(F.max_by("q_row", F.struct(F.col("q_id").isNotNull(), F.col("q_id"))).alias("q_row"))
     return tested.where("not q_maybe").select("q_row").unionByName(best.select("q_row")).select(*(F.col(f"q_row.`{c}`").alias(c) for c in names))

@@ -20,7 +20,8 @@ answered in the first. No partner or bucket is capped, and no pair of a group th
 threshold of 0.8 shares a band with probability above 0.9999.
 
 Buckets of a 65536th of all members or more (and of `HOT_ROWS`) are joined by broadcast, the others by a shuffle: there
-are at most 65536 of the former, and none of the latter makes a task hot.
+are at most 65536 of the former, and none of the latter makes a task hot. Of whole texts only those shuffle that a bitmap of the wanted
+ids (32 MB at most) lets pass: those that are compared, and in `deduplicated` those that may go.
 
 Texts of equal word sequences are folded first, so copies cost one row; they are of one class by definition. Texts
 without any word are of one class if they are identical.
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, text_buffers, written
-from .exact_dedup import bitmap_of, filter_bits, maybe_in
+from .exact_dedup import bitmap_of, filter_bits, maybe_in, tested_by
 from .wordhash import gram_rows, grams, mix, words_of
 
 SHINGLE, HASHES, ROWS, THRESHOLD = 5, 80, 4, 0.8
@@ -318,8 +319,10 @@ class _Linker:
         self.link(sides.select("a", "b", "text_a", "text_b").mapInArrow(_verify(self.idf, self.threshold), "a long, b long").distinct())
 
     def texts_of(self, nodes: DataFrame) -> DataFrame:
-        wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
-        return written(self.rows.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+        wanted = written(nodes.select(F.col("node").alias("doc_id")).distinct(), "wanted")
+        bits = filter_bits(wanted.count())
+        near = maybe_in(self.rows, F.col("doc_id"), bitmap_of(wanted, F.col("doc_id"), bits), bits)
+        return written(near.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
 
     def across(self) -> None:
         """All pairs across classes that share a bucket: its members outside the largest class against all, in blocks."""
@@ -450,4 +453,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose document stays, one document of each class, with their columns."""
     gone = written(classes(docs, id_col, text_col, threshold).where("not kept").select(F.col("doc_id").alias("q_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col].cast("long") == gone["q_gone"], "left_anti")
+    bits = filter_bits(gone.count())
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("q_row"))
+    packed = packed.select("q_row", F.col(f"q_row.`{id_col}`").cast("long").alias("q_id"))
+    tested = tested_by(packed, F.col("q_id"), bitmap_of(gone, F.col("q_gone"), bits), bits)
+    maybe = tested.where("q_maybe")
+    stay = maybe.join(gone, F.col("q_id") == F.col("q_gone"), "left_anti")
+    return tested.where("not q_maybe").select("q_row").unionByName(stay.select("q_row")).select(*(F.col(f"q_row.`{c}`").alias(c) for c in docs.columns))
