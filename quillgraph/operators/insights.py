@@ -150,3 +150,8 @@ def filtered(reviews: DataFrame, stars=None, sources=None, languages=None) -> Da
         if values is not None:
             reviews = reviews.where(F.col(column).isin(*values))
     return reviews
+
+
+def period_matrix(shared: DataFrame, periods: list[str] | None = None) -> DataFrame:
+    """shares as one row a key and one column a period; periods, if known, save a pass that looks for them."""
+    return shared.groupBy("key").pivot("period", periods).agg(F.first("share"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def sparkline(shares: list[float], width: int = 120, height: int = 28) -> str:
@@ -46,3 +47,23 @@ def lineage_dot(raws: list[tuple[str, str]], name: str) -> str:
     """The forms that lead to a name, as a DOT graph."""
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
     return "digraph { rankdir=LR; " + " ".join(f"{quote(raw)} -> {quote(step)}; {quote(step)} -> {quote(name)};" for raw, step in raws) + " }"
+
+
+# Colours by rank, and of all further clusters.
+PALETTE = ("#2a78d6", "#eb6834", "#1baf7a", "#eda100", "#e87ba4", "#008300", "#4a3aa7", "#e34948")
+OTHER = "#b4b2a9"
+
+
+def cluster_colors(clusters: DataFrame, level: str = "macro") -> DataFrame:
+    """(cluster, size, color): clusters by falling size take the palette in turn, the rest share one colour. One row a cluster, so the window is small."""
+    sizes = clusters.select(F.col(f"{level}_cluster").cast("string").alias("cluster")).where("cluster <> '-1'").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    place = F.row_number().over(Window.orderBy(F.desc("size"), "cluster"))
+    return sizes.withColumn("color", F.coalesce(F.get(F.array(*map(F.lit, PALETTE)), place - 1), F.lit(OTHER)))
+
+
+def cluster_titles(clusters: DataFrame, interests: DataFrame, level: str = "macro") -> DataFrame:
+    """(cluster, title): the interest's title (level, cluster, title); a micro cluster without one takes its macro cluster's, and what has none a general one."""
+    found = clusters.select(F.col(f"{level}_cluster").cast("string").alias("cluster")).distinct()
+    titles = lambda of, c, t: interests.where(F.col("level") == of).select(F.col("cluster").cast("string").alias(c), F.col("title").alias(t))
+    named = found.join(titles(level, "cluster", "own"), "cluster", "left").withColumn("above", F.substring_index("cluster", ".", 1)).join(titles("macro", "above", "macro_title"), "above", "left")
+    return named.select("cluster", F.coalesce("own", "macro_title", F.concat(F.lit("Minor cluster "), F.col("cluster"))).alias("title"))

@@ -42,3 +42,8 @@ def modes(df: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, ties to the least, and its count."""
     counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), value))).where("rank = 1").drop("rank")
+
+
+def display_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows to look at, by the least MD5 of key and seed: the same on any engine and partitioning."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)

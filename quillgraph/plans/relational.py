@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import gold, graph, insights, sampling
+from ..operators import canonical, connector, gold, graph, insights, report, sampling
 from . import adapters as A
 from .config import DEFAULT, Config, Stakeholder
 
@@ -389,3 +389,61 @@ def g05_communities(spark, d):
 
 def flagship(spark, d):
     return i05_entity_trends_by_year(spark, d)
+
+
+_LINED = "used as (select string_split(p_name, ' ')[1] raw, p_partkey from part union all select upper(string_split(p_name, ' ')[2]), p_partkey from part), forms as (select raw, lower(raw) normalized, regexp_replace(lower(raw), '(e|s|ed|ing)$', '') canonical, count(*) n_mentions from used group by raw), lined as (select *, canonical entity_id, case when normalized = canonical then 'exact' else 'fuzzy' end as merge, round(100.0 * length(canonical) / length(normalized), 1) fuzzy_score from forms)"
+
+
+def _lined(spark, d):
+    """Words of part names as raw forms; a name without its ending stands for its canonical name."""
+    part = A.table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    used = part.select(F.col("w")[0].alias("raw"), F.col("p_partkey").alias("review_id"), F.lit("first").alias("role")).unionByName(part.select(F.upper(F.col("w")[1]).alias("raw"), F.col("p_partkey").alias("review_id"), F.lit("second").alias("role")))
+    named = canonical.lineage(used, F.lower("raw")).withColumn("canonical", F.regexp_replace("normalized", "(e|s|ed|ing)$", ""))
+    score = F.round(F.length("canonical") * 100.0 / F.length("normalized"), 1)
+    return named.withColumns({"entity_id": F.col("canonical"), "merge": F.when(F.col("normalized") == F.col("canonical"), "exact").otherwise("fuzzy"), "fuzzy_score": score})
+
+
+@query(f"with {_LINED} select count(distinct raw) raw_forms, count(distinct normalized) normalized_names, count(distinct canonical) canonical_names, count(*) filter (merge = 'fuzzy') fuzzy_merges from lined")
+def i18_lineage_metrics(spark, d):
+    return canonical.lineage_metrics(_lined(spark, d))
+
+
+@query(f"with {_LINED} select entity_id, count(distinct raw) n_forms, cast(sum(n_mentions) as bigint) n_mentions from lined group by entity_id")
+def i18_entity_forms(spark, d):
+    return canonical.entity_forms(_lined(spark, d))
+
+
+@query(f"with {_LINED} select normalized, canonical, fuzzy_score, n_mentions, raw from lined where merge = 'fuzzy'")
+def i18_fuzzy_merges(spark, d):
+    return canonical.fuzzy_merges(_lined(spark, d))
+
+
+_YEARS = [str(y) for y in range(1992, 1999)]
+
+
+@query((GOLD + ", " + trend_sql("select interest_id as key, review_id from weights where level = 'macro'")).replace("'%Y-%m'", "'%Y'") + " select key interest_id, " + ", ".join(f"round(max(share) filter (period = '{y}'), 6) share_{y}" for y in _YEARS) + " from shares group by key")
+def u08_interest_years(spark, d):
+    """Shares of the macro interests, one column a year."""
+    r, m, t, e, c = _all(spark, d)
+    weights = gold.review_weights(c, m, t, gold.interests(c, m, t, r)).where("level = 'macro'")
+    matrix = insights.period_matrix(insights.shares(weights.select(F.col("interest_id").alias("key"), "review_id"), r, YEARLY), _YEARS)
+    return matrix.select(F.col("key").alias("interest_id"), *(F.round(F.col(f"`{y}`"), 6).alias(f"share_{y}") for y in _YEARS))
+
+
+@query(A.sql("reviews") + " select review_id, stars, language, source_group from reviews order by md5(review_id || '-42'), review_id limit 10")
+def t08_display_sample(spark, d):
+    """Ten rows to look at: the limit is the feature."""
+    return sampling.display_sample(A.reviews(spark, d), "review_id", 10).select("review_id", "stars", "language", "source_group")
+
+
+@query("select count(*) calls, cast(sum(length(coalesce(text, ''))) as bigint) input_tokens, cast(sum(coalesce(n_chars, 0)) as bigint) output_tokens, cast(0 as bigint) cache_write_tokens, cast(count(text) as bigint) cache_read_tokens, round((2.0 * sum(length(coalesce(text, ''))) + 10.0 * sum(coalesce(n_chars, 0)) + 0.2 * count(text)) / 1e6, 6) cost_usd from documents")
+def a20_usage(spark, d):
+    """Calls, tokens and cost, with lengths of documents as tokens."""
+    size = F.length(F.coalesce("text", F.lit(""))).cast("long")
+    counts = A.table(spark, d, "documents").select(F.lit(1).alias("calls"), size.alias("input_tokens"), F.col("n_chars").cast("long").alias("output_tokens"), F.lit(0).alias("cache_write_tokens"), F.col("text").isNotNull().cast("int").alias("cache_read_tokens"))
+    return connector.usage(counts)
+
+
+@query(A.sql("entities", "clusters") + f", sizes as (select micro_cluster as cluster, count(*) size from clusters where micro_cluster <> '-1' group by all) select cluster, size, coalesce(([{', '.join(repr(c) for c in report.PALETTE)}])[row_number() over (order by size desc, cluster)], '{report.OTHER}') color from sizes")
+def g17_cluster_colors(spark, d):
+    return report.cluster_colors(A.clusters(spark, d), "micro")
