@@ -5,8 +5,13 @@ names of query parameters, and the label. FP-growth finds the frequent combinati
 stays if its support (a share of the labelled urls, and `min_count` of them), its confidence and the lower end of its confidence's
 95 % interval (Wilson; `SURE`) reach their bounds and no rule over a part of its tokens is as confident. The interval keeps out
 combinations that a few labels made by chance. Tokens that stand in exactly the same labelled urls are mined as
-one, words before paths, queries and hosts, and the longest of these: this loses no rule, and a host's suffixes don't multiply the combinations. Of one url at most `MOST_ITEMS`
-tokens enter the mining, those most often blocked; this bounds 2^k in fitting only, rules are matched on all tokens.
+one, words before paths, queries and hosts, and the longest of these: this loses no rule, and a host's suffixes don't multiply the combinations.
+
+FP-growth takes the urls of at most `MOST_ITEMS` such tokens, whose 2^k combinations it can hold. Tokens blocked too seldom for any rule
+don't count. Urls of more are mined level by level instead, over the rows that hold each combination (`_levels`): every combination
+that such a blocked url holds is counted in all urls, long and short, unless a part of it makes it needless: a part in
+the same urls, or one that is always blocked. FP-growth's rules get the other long urls' counts added. So no token is dropped and all counts
+are whole; many long urls that share most, but not all, of their tokens still have very many combinations, and all are counted.
 
 Rules are a table. They match by an inverted index from their rarest token: the distinct urls that no written rule decides
 look up their tokens there, by broadcast where the index has at most `SMALL` tokens and else by a shuffle, and only
@@ -33,6 +38,7 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 #: A url with one of these words in its host is a labelled example of "block", whatever else is known of it.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra")
 RULE = "tokens array<string>, confidence double, support double"
+COUNTED = "tokens array<string>, n long, bad long"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,36 +86,88 @@ def _lower_end(share: Column, n: Column) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n)
 
 
-def _items(labelled: DataFrame, least_rows: Column | int, most_items: int) -> DataFrame:
-    """Transactions of the frequent tokens, one for each set of urls that tokens share; (items, blocked)."""
+def _items(labelled: DataFrame, least_rows: float) -> DataFrame:
+    """(items, n, bad, place): each distinct set of tokens, of which those that are blocked often enough, one for each set of urls that tokens share, with its rows and the blocked ones."""
     # Equal urls are one row with their counts, so that a hot url is no hot task.
     known = labelled.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("blocked", F.lit(False))).alias("bad")).withColumn("place", F.xxhash64("tokens"))
     known = written(known, "known-urls")
     spread = known.select(F.explode("tokens").alias("token"), "n", "bad", "place")
     # Tokens of equal counts and hash sums stand in the same urls.
-    seen = spread.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.expr("sum(cast(place as decimal(20, 0)))").alias("where"), F.bit_xor("place").alias("marks")).where(F.col("n") >= least_rows)
-    chosen = seen.groupBy("n", "bad", "where", "marks").agg(F.max_by("token", F.struct(F.substring_index("token", "=", 1), F.length("token"), "token")).alias("token")).select("token", (F.col("bad") / F.col("n")).alias("share"), F.col("n").alias("uses"))
-    kept = spread.join(_small(chosen), "token").groupBy("place", "n", "bad").agg(F.sort_array(F.collect_list(F.struct("share", "uses", "token")), asc=False).alias("held"))
-    parts = kept.select(F.slice("held.token", 1, most_items).alias("items"), "n", "bad", "place", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")).alias("first"))
+    seen = spread.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.expr("sum(cast(place as decimal(20, 0)))").alias("where"), F.bit_xor("place").alias("marks")).where(F.col("bad") >= least_rows)
+    chosen = seen.groupBy("n", "bad", "where", "marks").agg(F.max_by("token", F.struct(F.substring_index("token", "=", 1), F.length("token"), "token")).alias("token")).select("token")
+    return spread.join(_small(chosen), "token").groupBy("place", "n", "bad").agg(F.array_sort(F.collect_list("token")).alias("items")).select("items", "n", "bad", "place")
+
+
+def _baskets(sets: DataFrame) -> DataFrame:
+    """(items, blocked): sets as one row for each of their rows."""
+    parts = sets.select("items", "n", "bad", "place", F.explode(F.expr(f"sequence(0L, n - 1, {CHUNK}L)")).alias("first"))
     again = F.transform(F.expr(f"sequence(first, least(first + {CHUNK}, n) - 1)"), lambda k: k < F.col("bad"))
     return parts.repartition("place", "first").select("items", F.explode(again).alias("blocked"))
 
 
+def _grown(sets: DataFrame, least_rows: float, min_confidence: float) -> DataFrame:
+    """Rules (tokens, n, bad) of sets by FP-growth."""
+    baskets = written(_baskets(sets), "baskets")
+    every = baskets.count()
+    if not every or least_rows > every:
+        return sets.sparkSession.createDataFrame([], COUNTED)
+    transactions = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least_rows / every), minConfidence=min_confidence).fit(transactions)
+    bad = F.round(F.col("support") * every)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
+    return found.select(F.array_sort("antecedent").alias("tokens"), F.round(bad / F.col("confidence")).cast("long").alias("n"), bad.cast("long").alias("bad"))
+
+
+def _elsewhere(found: DataFrame, far: DataFrame) -> DataFrame:
+    """found (tokens, n, bad) of other sets than far: those that no blocked set of far holds, with the rows of far added."""
+    index = index_of(found.select("tokens", F.lit(0.0).alias("confidence"))).drop("own_confidence")
+    spread = far.select("place", "n", "bad", "items", F.explode("items").alias("token"))
+    held = spread.join(index, "token").where(F.size(F.array_except("own", "items")) == 0).groupBy(F.col("own").alias("tokens")).agg(F.sum("n").alias("more"), F.sum("bad").alias("far_bad"))
+    both = found.join(held, "tokens", "left").where(F.coalesce("far_bad", F.lit(0)) == 0)
+    return both.select("tokens", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), "bad")
+
+
+def _levels(sets: DataFrame, far: DataFrame, least_rows: float) -> DataFrame:
+    """(tokens, n, bad), counted in all sets: the combinations that a blocked set of far holds and that are blocked in least_rows rows or
+    more, without those of which a part stands in the same rows or is always blocked: none of these is a rule that stays."""
+    within = far.where("bad > 0").select("place", F.lit(True).alias("far"))
+    marked = sets.join(within, "place", "left").select("place", "n", "bad", "items", F.coalesce("far", F.lit(False)).alias("far"))
+    tokens = far.where("bad > 0").select(F.explode("items").alias("token")).distinct()
+    rows = marked.select("place", "n", "bad", "far", F.explode("items").alias("token")).join(_small(tokens), "token").select(F.array("token").alias("tokens"), "place", "n", "bad", "far")
+    out, size, before = None, 1, None
+    while True:
+        rows = written(rows, "held")
+        counts = rows.groupBy("tokens").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("far").alias("far")).where(F.col("far") & (F.col("bad") >= least_rows)).drop("far")
+        if before is not None:
+            parts = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda k: F.filter("tokens", lambda _, at: at != k))
+            part = counts.select("tokens", "n", F.explode(parts).alias("part")).join(before.select(F.col("tokens").alias("part"), F.col("n").alias("part_n")), "part")
+            counts = counts.join(part.groupBy("tokens", "n").agg(F.count(F.lit(1)).alias("parts"), F.min("part_n").alias("least")).where((F.col("parts") == size) & (F.col("least") > F.col("n"))).select("tokens"), "tokens")
+        counts = written(counts, "level")
+        out = counts if out is None else out.unionByName(counts)
+        before = counts.where("bad < n")
+        if before.isEmpty():
+            return out
+        open_ = rows.join(before.select("tokens"), "tokens", "left_semi").select("place", F.slice("tokens", 1, size - 1).alias("start"), F.element_at("tokens", -1).alias("last"), "n", "bad", "far")
+        other = open_.select("place", "start", F.col("last").alias("next"))
+        rows = open_.join(other, ["place", "start"]).where("last < next").select(F.concat("start", F.array("last", "next")).alias("tokens"), "place", "n", "bad", "far")
+        size += 1
+
+
 def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, sure: float = SURE, most_items: int = MOST_ITEMS) -> DataFrame:
-    """Rules for blocking (tokens in order, confidence, support), from labelled (tokens array<string>, blocked boolean)."""
+    """Rules for blocking (tokens in order, confidence, support), from labelled (tokens array<string>, blocked boolean). most_items: of urls that FP-growth takes; the others are mined by level."""
     rows = labelled.where(F.size("tokens") > 0).count()
     least = max(min_support, min_count / rows) if rows else 2.0
     if least > 1:
         return labelled.sparkSession.createDataFrame([], RULE)
-    baskets = written(_items(labelled, least * rows - 1e-9, most_items), "baskets")
-    every = baskets.count()
-    if not every or least * rows > every:
-        return labelled.sparkSession.createDataFrame([], RULE)
-    transactions = baskets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least * rows - 1e-9) / every), minConfidence=min_confidence).fit(transactions)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * every / rows).alias("support"))
-    n = F.col("support") * rows / F.col("confidence")
-    return written(pruned(written(found.where(_lower_end(F.col("confidence"), n) >= sure), "found")), "rules")
+    least_rows = least * rows - 1e-9
+    sets = written(_items(labelled, least_rows), "sets")
+    far = sets.where(F.size("items") > most_items)
+    found = _grown(sets.where(F.size("items") <= most_items), least_rows, min_confidence)
+    if not far.isEmpty():
+        found = _elsewhere(written(found, "grown"), far).unionByName(_levels(sets, far, least_rows))
+    found = found.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(rows)).alias("support"), "n")
+    found = found.where((F.col("confidence") >= min_confidence) & (_lower_end(F.col("confidence"), F.col("n")) >= sure)).drop("n")
+    return written(pruned(written(found, "found")), "rules")
 
 
 def index_of(rules: DataFrame) -> DataFrame:

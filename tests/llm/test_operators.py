@@ -767,6 +767,32 @@ def test_mined_rules_equal_counting_every_set(spark):
     assert blocked == {t for t, own in zip(texts, held, strict=True) if {"a", "c"} <= own or "f" in own or {"b", "d", "g"} <= own}
 
 
+@pytest.mark.parametrize("most_items", [0, 3, 5])
+def test_urls_of_many_tokens_are_mined_whole(spark, most_items):
+    rng = random.Random(19)
+    rows = []
+    for _ in range(300):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.45] or ["a"]
+        chance = 0.95 if {"a", "c"} <= set(tokens) else 0.9 if "f" in tokens and len(tokens) > 3 else 0.1
+        rows.append((tokens, rng.random() < chance))
+    rows += [(["h", "i", "k"], k < 6) for k in range(14)] + [(["h", "i"], False), (["i", "k"], False), (["h", "k"], False)]
+    got = urlfilter.mined(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.0, most_items=most_items)
+    found = [(tuple(r["tokens"]), r["confidence"]) for r in got.collect()]
+    want = plain_rules(rows, urlfilter.MIN_COUNT, urlfilter.MIN_CONFIDENCE, urlfilter.SURE)
+    assert len(found) == len(dict(found)) and {k: v for k, v in found if len(k) < 5} == pytest.approx(want) and max(map(len, want)) >= 2
+
+
+def test_no_token_of_a_long_url_is_dropped(spark):
+    # 14 words that are blocked more often than "red" and "car", which block together only.
+    rows = []
+    for k in range(140):
+        rows.append((f"http://s.net/red/car/{'/'.join(f'w{chr(97 + j)}' for j in range(14) if j != k % 14)}/{k}", True))
+        rows += [(f"http://s.net/{word}/{k}", False) for word in ("red", "car", "red", "car", "red", f"w{chr(97 + k % 14)}")]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "http://new.net/red/car/1"), (2, "http://new.net/red/1"), (3, "http://new.net/car/1")], "page_id long, url string")
+    assert sorted((r["page_id"], r["verdict"]) for r in urlfilter.verdicts(pages, labelled).collect()) == [(1, "block"), (2, "allow"), (3, "allow")]
+
+
 def test_mined_rules_block_combinations(spark):
     rows = [(f"http://s{k % 7}.net/{'casino' if k % 3 == 0 else 'news'}/{'win' if k % 2 else 'read'}/{k}", k % 3 == 0 and k % 2 == 1) for k in range(240)]
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
