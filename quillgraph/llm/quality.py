@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import slices, text_buffers, written
 from .wordhash import _BASE, _BASE_INV, mix
 
 DIMENSIONS, NONZERO, REACH, HIDDEN, MIN_COUNT = 32, 4, 2, 32, 8
@@ -219,9 +219,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_char
     order, doc_id, text = (F.lit(x) for x in last)
     within = (F.col("q_order") < order) | (F.col("q_order") == order) & ((F.col("doc_id") < doc_id) | (F.col("doc_id") == doc_id) & (F.col("q_text") <= text))
     rows = fits.where(within).groupBy("q_order", "doc_id", "q_text").agg(F.min("text").alias("text"), F.max("q_label").alias("q_label"))
-    rows = rows.select("doc_id", "text", "q_label", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).alias("fold")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"].encode() for r in rows], np.array([r["q_label"] for r in rows]), np.array([r["fold"] == 1 for r in rows]))
+    rows = rows.select("doc_id", "text", "q_label", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)).alias("fold"))
+    # The driver's JVM holds one part of the sample at a time, not all texts at once.
+    drawn = sorted((r["doc_id"], r["text"].encode(), r["q_label"], r["fold"] == 1) for r in written(rows, "sample").toLocalIterator())
+    try:
+        return fit([r[1] for r in drawn], np.array([r[2] for r in drawn]), np.array([r[3] for r in drawn]))
+    finally:
+        _powers.clear()  # as long as the longest slice
 
 
 def _scored(model: Model, column: pa.Array) -> np.ndarray:

@@ -318,6 +318,14 @@ def test_scores_do_not_depend_on_other_columns(spark):
     assert {r["doc_id"] + 7: r["score"] for r in quality.scores(docs, model).collect()} == {r["doc_id"]: r["score"] for r in quality.scores(other, model).collect()}
 
 
+def test_the_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    docs, labels = table(spark, "documents"), table(spark, "labels").select("doc_id", "quality")
+    seen, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: seen.append(self.columns) or plain(self))
+    assert quality.train(docs, labels).layers is not None
+    assert seen and not any("text" in columns for columns in seen) and not quality._powers
+
+
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
