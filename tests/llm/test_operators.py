@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.llm import bpe, chat, decontaminate, exact_dedup, htmltext, minhash, packing, quality, queries, rollups, secretscan, urlfilter
-from quillgraph.llm.common import slices, text_buffers
+from quillgraph.llm.common import BATCHES, slices, text_buffers
 from quillgraph.llm.wordhash import gram_rows, grams, words_of
 
 SMALL = "/root/testdata/sf0.001"
@@ -193,6 +193,48 @@ def test_the_bound_on_open_bins_acts(spark, monkeypatch):
     assert count(1) > count(400) == 220
 
 
+def test_packing_takes_texts_in_small_batches(spark, tmp_path):
+    """Long texts reach Python in batches of about BATCHES, not of 64 MB, and the session's settings are as before; smaller ones of its own hold."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([0], pa.int32()), pa.array([0]), pa.array([1]), pa.array([0])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    spark.range(0, 200, 1, 1).select(F.repeat(F.lit("a text "), 9000).alias("text")).write.parquet(str(tmp_path / "long"))
+    cut = spark.read.parquet(str(tmp_path / "long")).mapInArrow(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    before = dict(spark.conf.getAll)
+    taken = [r["doc_id"] for r in packing.packed(cut).collect()]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    assert sum(taken) >= 200 * 63000 and max(taken) <= BATCHES[key] + 2 * 63000
+    assert dict(spark.conf.getAll) == before
+    spark.conf.set(key, "300k")
+    try:
+        assert max(r["doc_id"] for r in packing.packed(cut).collect()) <= 300 * 1024 + 2 * 63000
+        assert spark.conf.get(key) == "300k"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_packing_needs_no_sort_of_spark(spark):
+    """A sort takes a page of many MB of the executor in each task; the places are those of a plain sort and best fit."""
+    rows = [(f"d{k * 37 % 500}" if k % 9 else None, k, 0, k * k % 2048 + 1, k) for k in range(500)]
+    made = packing.packed(spark.createDataFrame(rows, "doc_id string, piece int, start long, length long, ids_crc32 long"), task_rows=10**6)
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+    bins = packing.BestFit(2048, packing.OPEN_BINS)
+    want = {r[1]: bins.place(r[3]) for r in sorted(rows, key=lambda r: (-r[3], r[0] is None, r[0] or "", r[1]))}
+    assert {r["piece"]: (r["sequence_id"] & ((1 << 40) - 1), r["offset"]) for r in made.collect()} == want
+
+
+def test_falling_in_parts():
+    """Beyond `most` rows part by part, every row once; ids without an order too."""
+    batch = lambda n, of: pa.RecordBatch.from_arrays([pa.array([of(k) for k in n]), pa.array(n, pa.int32()), pa.array(n), pa.array(n)], ["doc_id", "piece", "length", "ids_crc32"])
+    for of in (int, str, lambda k: [k], lambda k: {"a": k}):
+        parts = [batch([3, 1], of), batch([7, 2], of), batch([9], of), batch([5, 6], of)]
+        assert [x for b in packing.falling(parts, 4) for x in b.column(2).to_pylist()] == [7, 3, 2, 1, 9, 6, 5]
+        assert [x for b in packing.falling(parts) for x in b.column(2).to_pylist()] == [9, 7, 6, 5, 3, 2, 1]
+    assert list(packing.falling([])) == []
+
+
 def test_the_fullest_bin_closes_first():
     bins = packing.BestFit(10, 2)
     assert [bins.place(n) for n in (7, 6, 5)] == [(0, 0), (1, 0), (2, 0)]  # bin 0 held most and was closed
