@@ -1,11 +1,15 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read again."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read again.
+
+Stages whose rows pass through Python as they are made write them themselves, as only there texts go in small batches:
+at Spark's defaults the Python workers, Arrow's buffers and the heap keep several times as much for the rest of the run.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm import bpe, decontaminate, exact_dedup, minhash, packing, quality
-from quillgraph.llm.common import written
+from quillgraph.llm.common import small_batches, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality.kept(docs, model)
+    with small_batches(spark):
+        model = quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+        return written(quality.kept(docs, model), "quality-classifier")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +35,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item: for training, one item is one too many (op7's query reports two or more, as its contract says)."""
-    return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), min_items=1)
+    with small_batches(spark):
+        return written(decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"), min_items=1), "benchmark-decontamination")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +52,9 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
+#: Stages that have written what they return.
+WRITTEN = {quality_stage, benchmark_stage}
+
 #: The classifier, the consistent samples and the tokenizer have no SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
@@ -53,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        docs = made if stage in WRITTEN else written(made, name.replace(" ", "-"))
     return written(STAGES[-1][1](spark, docs, sf_dir), "packed")

@@ -21,7 +21,8 @@ threshold of 0.8 shares a band with probability above 0.9999.
 
 Buckets of a 65536th of all members or more (and of `HOT_ROWS`) are joined by broadcast, the others by a shuffle: there
 are at most 65536 of the former, and none of the latter makes a task hot. Of whole texts only those shuffle that a bitmap of the wanted
-ids (32 MB at most) lets pass: those that are compared, and in `deduplicated` those that may go.
+ids (32 MB at most) lets pass: those that are compared, and in `deduplicated` those that may go. All steps of `classes` that
+hand texts to Python run as it is called, and take them in small batches.
 
 Texts of equal word sequences are folded first, so copies cost one row; they are of one class by definition. Texts
 without any word are of one class if they are identical.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers, written
+from .common import slices, small_batches, text_buffers, written
 from .exact_dedup import bitmap_of, filter_bits, maybe_in, tested_by
 from .wordhash import gram_rows, grams, mix, words_of
 
@@ -429,6 +430,11 @@ def sized(spread: DataFrame) -> tuple[DataFrame, int]:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the least doc_id of its class), n_links (links of its text to others that were verified; pairs inside a class that a leader has closed already are not made), kept (doc_id is the class's)."""
+    with small_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col, threshold)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.where("doc_id is not null")
     spark = docs.sparkSession

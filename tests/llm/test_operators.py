@@ -489,6 +489,28 @@ def test_blocks_answer_each_pair_across_classes_once():
     assert len(want) > 200 and len(found) == len(set(found)) and set(found) == want
 
 
+def test_near_dedup_takes_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """Long texts reach the counters and the samples in batches of about BATCHES, not of 64 MB, and the session's settings are as before."""
+
+    def noted(run, name):
+        def tap(batches):
+            for k, b in enumerate(batches):
+                (tmp_path / f"{name}-{k}-{b.nbytes}").touch()
+                yield b
+
+        return lambda batches: run(tap(batches))
+
+    monkeypatch.setattr(minhash, "_count", noted(minhash._count, "count"))
+    monkeypatch.setattr(minhash, "_sketch", lambda idf, plain=minhash._sketch: noted(plain(idf), "sketch"))
+    spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a text "), 9000).alias("text")).write.parquet(str(tmp_path / "long"))
+    before = dict(spark.conf.getAll)
+    got = minhash.classes(spark.read.parquet(str(tmp_path / "long"))).collect()
+    assert len(got) == 200 and {r["class_id"] for r in got} == {0} and dict(spark.conf.getAll) == before
+    for name in ("count", "sketch"):
+        taken = [int(p.name.split("-")[2]) for p in tmp_path.glob(f"{name}-*")]
+        assert sum(taken) >= 200 * 63000 and max(taken) <= BATCHES["spark.sql.execution.arrow.maxBytesPerBatch"] + 2 * 63000
+
+
 def test_near_link_counts(spark):
     base = " ".join(f"w{k}" for k in range(60))
     texts = [base, base + " x", base + " x", "other words stand here and nowhere else", None]

@@ -7,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline as P  # noqa: E402
 
 from quillgraph.llm import bpe, quality  # noqa: E402
+from quillgraph.llm.common import BATCHES  # noqa: E402
 
 from .test_operators import brute_classes, brute_contamination  # noqa: E402
 
@@ -48,3 +49,23 @@ def test_stages_keep_the_columns(spark):
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
     assert [n for n, _ in P.STAGES] == ["quality classifier", "exact dedup", "minhash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_stages_in_python_take_texts_in_small_batches(spark, tmp_path, monkeypatch):
+    """Whoever writes a stage's result does so under settings of their own, so texts have passed Python in small batches by then."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    spark.range(0, 200, 1, 1).select(F.repeat(F.lit("a text "), 9000).alias("text")).write.parquet(str(tmp_path / "long"))
+    docs, before = spark.read.parquet(str(tmp_path / "long")), dict(spark.conf.getAll)
+    monkeypatch.setattr(P.quality, "train", lambda docs, labels: None)
+    monkeypatch.setattr(P.quality, "kept", lambda docs, model: docs.mapInArrow(sizes, "n long"))
+    monkeypatch.setattr(P.decontaminate, "clean", lambda docs, benchmark, min_items: docs.mapInArrow(sizes, "n long"))
+    for stage in (P.quality_stage, P.benchmark_stage):
+        taken = [r["n"] for r in stage(spark, docs, SMALL).collect()]
+        assert sum(taken) >= 200 * 63000 and max(taken) <= BATCHES["spark.sql.execution.arrow.maxBytesPerBatch"] + 2 * 63000
+    assert dict(spark.conf.getAll) == before
