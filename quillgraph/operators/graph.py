@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import written
+from ..shared import spread, written
 
 
 def relations(triplets: DataFrame) -> DataFrame:
@@ -16,17 +16,19 @@ def relations(triplets: DataFrame) -> DataFrame:
     return by_sentiment.groupBy(*keys).agg(F.sum("n").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("review_ids"), F.to_json(mix).alias("sentiment_mix")).select(F.col("subject_id").alias("source_id"), "predicate", F.col("object_id").alias("target_id"), "weight", "review_ids", "sentiment_mix")
 
 
-def bridge(mentions: DataFrame, triplets: DataFrame) -> DataFrame:
-    """Distinct (review_id, entity_id) of mentions and both ends of triplets."""
-    return touches(mentions, triplets).select("review_id", "entity_id").distinct()
+def bridge(mentions: DataFrame, triplets: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Distinct (review_id, entity_id) of mentions and both ends of triplets, of the given entities or all; dealt out by review."""
+    touched = touches(mentions, triplets).select("review_id", "entity_id")
+    if of is not None:
+        touched = touched.join(of.select("entity_id"), "entity_id", "left_semi").select("review_id", "entity_id")
+    return spread(touched, "review_id").distinct()
 
 
 def touches(mentions: DataFrame, triplets: DataFrame) -> DataFrame:
     """Every mention and triplet end, repeated as often as it occurs."""
     return (
         mentions.select("review_id", "entity_id", "sentiment")
-        .unionByName(triplets.select("review_id", F.col("subject_id").alias("entity_id"), "sentiment"))
-        .unionByName(triplets.select("review_id", F.col("object_id").alias("entity_id"), "sentiment"))
+        .unionByName(triplets.select("review_id", F.explode(F.array("subject_id", "object_id")).alias("entity_id"), "sentiment"))
     )
 
 
@@ -86,7 +88,7 @@ def renumbered(labels: DataFrame, label: str = "label") -> DataFrame:
 
 def pagerank(entities: DataFrame, edges_: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """Weighted rank on the undirected graph by power iteration; what entities without edges hold is spread evenly."""
-    nodes = entities.select("entity_id").distinct()
+    nodes, edges_ = written(entities.select("entity_id").distinct(), "nodes"), written(edges_.select("src", "dst", "weight"), "edges")
     n = nodes.count()
     if not n or edges_.isEmpty():
         return nodes.select("entity_id", F.lit(0.0).alias("pagerank"))

@@ -23,3 +23,11 @@ def test_written_tables_are_removed(spark, monkeypatch):
     assert files.exists(path)
     shared.remove_written(spark)
     assert not files.exists(path) and shared._written == []
+
+
+def test_partitions_grow_with_the_files_read(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/rows")
+    rows, least = spark.read.parquet(f"{tmp_path}/rows"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert shared.spread(rows, "id").rdd.getNumPartitions() == least
+    monkeypatch.setattr(shared, "PARTITION_BYTES", shared._input_bytes(rows) // 50)
+    assert shared.spread(rows, "id").rdd.getNumPartitions() == 64 and shared.spread(rows.union(rows), "id").rdd.getNumPartitions() == 128
