@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import DEFAULT, Config
+from ..shared import written
 from .graph import bridge, touches
 
 
@@ -25,21 +26,25 @@ def interests(clusters: DataFrame, mentions: DataFrame, triplets: DataFrame, rev
     """One row per community of enough entities: macro ones, and micro ones that aren't all of their macro."""
     macro = clusters.where("macro_cluster >= 0").select("entity_id", F.lit("macro").alias("level"), F.col("macro_cluster").cast("string").alias("cluster"), F.lit(None).cast("string").alias("parent"))
     micro = clusters.where("macro_cluster >= 0").select("entity_id", F.lit("micro").alias("level"), F.col("micro_cluster").alias("cluster"), F.col("macro_cluster").cast("string").alias("parent"))
-    members = macro.unionByName(micro)
+    # Written, so that Spark knows how small it is: a join of all touches by their few entities would put most of them into few tasks.
+    members = written(macro.unionByName(micro), "members")
     sizes = members.groupBy("level", "cluster", "parent").agg(F.count(F.lit(1)).alias("n_entities")).where(F.col("n_entities") >= config.min_interest_entities)
     parents = sizes.where("level = 'macro'").select(F.col("cluster").alias("parent"), F.col("n_entities").alias("of"))
     kept = sizes.join(parents, "parent", "left").where("level = 'macro' or of is null or n_entities <> of").select("level", "cluster", "parent", "n_entities")
-    touched = bridge(mentions, triplets).join(members.select("entity_id", "level", "cluster"), "entity_id").select("review_id", "level", "cluster").distinct()
+    touched = bridge(mentions, triplets, members).join(members.select("entity_id", "level", "cluster"), "entity_id").select("review_id", "level", "cluster").distinct()
     stats = touched.join(reviews.select("review_id", "stars"), "review_id").groupBy("level", "cluster").agg(F.count(F.lit(1)).alias("n_reviews"), F.avg("stars").alias("avg_stars"), F.avg((F.col("stars") <= 2).cast("double")).alias("pct_negative_reviews"))
-    return kept.join(stats, ["level", "cluster"], "left").select(
+    found = kept.join(stats, ["level", "cluster"], "left").select(
         F.concat_ws("_", "level", "cluster").alias("interest_id"), "level", "cluster", F.when(F.col("level") == "micro", F.concat_ws("_", F.lit("macro"), "parent")).alias("parent_interest_id"), "n_entities", F.coalesce("n_reviews", F.lit(0)).alias("n_reviews"), "avg_stars", "pct_negative_reviews"
     )
+    # A few rows, which weights and trends read again.
+    return written(found, "interests")
 
 
 def review_weights(clusters: DataFrame, mentions: DataFrame, triplets: DataFrame, kept: DataFrame) -> DataFrame:
     """Share of a review's entities in each kept interest of a level, among those in any kept interest of it."""
     long = clusters.select("entity_id", F.explode(F.array(F.struct(F.lit("macro").alias("level"), F.col("macro_cluster").cast("string").alias("cluster")), F.struct(F.lit("micro").alias("level"), F.col("micro_cluster").alias("cluster")))).alias("c")).select("entity_id", "c.level", "c.cluster")
-    counts = bridge(mentions, triplets).join(long, "entity_id").join(kept.select("level", "cluster", "interest_id"), ["level", "cluster"]).groupBy("review_id", "interest_id", "level").agg(F.count(F.lit(1)).alias("n"))
+    long = written(long.join(kept.select("level", "cluster", "interest_id"), ["level", "cluster"]).select("entity_id", "level", "interest_id"), "members")
+    counts = bridge(mentions, triplets, long).join(long, "entity_id").groupBy("review_id", "interest_id", "level").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("review_id", "interest_id", "level", (F.col("n") / F.sum("n").over(Window.partitionBy("review_id", "level"))).alias("weight"))
 
 
