@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.config import DEFAULT, Config, Stakeholder
+from ..shared import spread, written
 
 
 def with_period(reviews: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -29,9 +30,10 @@ def shares(keyed: DataFrame, reviews: DataFrame, config: Config = DEFAULT) -> Da
     periods = valid_periods(reviews, config)
     # A key's periods come from one row with all of them: at most a few hundred.
     all_periods = periods.agg(F.array_sort(F.collect_list(F.struct("period", "total"))).alias("periods")).first()["periods"]
-    counted = keyed.select("key", "review_id").distinct().join(dated, "review_id").groupBy("key", "period").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(spread(keyed.select("key", "review_id"), "review_id").distinct(), "pairs")
+    counted = spread(pairs, "review_id").join(dated, "review_id").groupBy("key", "period").agg(F.count(F.lit(1)).alias("n"))
     grid = F.array(*(F.struct(F.lit(p["period"]).alias("period"), F.lit(p["total"]).alias("total")) for p in all_periods)) if all_periods else F.array().cast("array<struct<period:string,total:bigint>>")
-    keys = keyed.select("key").distinct().select("key", F.explode(grid).alias("p")).select("key", "p.period", "p.total")
+    keys = pairs.select("key").distinct().select("key", F.explode(grid).alias("p")).select("key", "p.period", "p.total")
     return keys.join(counted, ["key", "period"], "left").select("key", "period", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 
@@ -62,7 +64,7 @@ def _by_stakeholder(mentions: DataFrame, reviews: DataFrame, stakeholders) -> Da
     for s in stakeholders:
         fit = F.lit(True) if s.categories is None else F.col("category").isin(*s.categories)
         fits.append(F.when(fit & ((F.col("sentiment") == s.sentiment) if s.sentiment else F.lit(True)), F.lit(s.name)))
-    met = mentions.join(reviews.select("review_id", "stars", "source_group", "language"), "review_id")
+    met = spread(mentions, "review_id").join(reviews.select("review_id", "stars", "source_group", "language"), "review_id")
     return met.withColumn("stakeholder", F.explode(F.array_compact(F.array(*fits))))
 
 
@@ -79,7 +81,9 @@ def stakeholder_metrics(mentions: DataFrame, reviews: DataFrame, config: Config
 def stakeholder_entities(mentions: DataFrame, reviews: DataFrame, hubs: DataFrame, config: Config = DEFAULT, k: int = 8) -> DataFrame:
     """The k entities of most mentions for each stakeholder, hubs left out."""
     own = _by_stakeholder(mentions, reviews, config.stakeholders).join(hubs, "entity_id", "left_anti")
-    counted = own.groupBy("stakeholder", "entity_id").agg(F.count(F.lit(1)).alias("n_mentions"), F.countDistinct("review_id").alias("n_reviews"), F.avg("stars").alias("avg_stars"))
+    # First by review, where the rows lie by the join: one row a review and entity goes into the few groups' partial sums.
+    single = own.groupBy("stakeholder", "entity_id", "review_id").agg(F.count(F.lit(1)).alias("n"), F.sum("stars").alias("stars"), F.count("stars").alias("n_stars"))
+    counted = single.groupBy("stakeholder", "entity_id").agg(F.sum("n").alias("n_mentions"), F.count(F.lit(1)).alias("n_reviews"), (F.sum("stars") / F.sum("n_stars")).alias("avg_stars"))
     rank = F.row_number().over(Window.partitionBy("stakeholder").orderBy(F.desc("n_mentions"), "entity_id"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k)
 
