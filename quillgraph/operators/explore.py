@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +41,15 @@ def words_of(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.explode(lower_words(F.col("text"))).alias("word"))
 
 
+def led(pattern: str) -> str:
+    """The pattern behind a look at the next character, where each alternative begins with a plain letter: most places of a text then need one step, not a try of all alternatives."""
+    starts = [re.match(r"(?:\\b|\(\?:)*([a-z])(?![?*{])", one) for one in pattern.split("|")]
+    return f"(?=[{''.join(sorted({m[1] for m in starts}))}])(?:{pattern})" if all(starts) else pattern
+
+
 def shares_of(docs: DataFrame, patterns: dict[str, str], group: Column, flags: str = "(?i)") -> DataFrame:
     """(pattern, grp, n, share) of texts that match, from one pass."""
-    hit = [F.struct(F.lit(name).alias("pattern"), F.coalesce(F.col("text"), F.lit("")).rlike(flags + p).alias("hit")) for name, p in patterns.items()]
+    hit = [F.struct(F.lit(name).alias("pattern"), F.coalesce(F.col("text"), F.lit("")).rlike(flags + led(p)).alias("hit")) for name, p in patterns.items()]
     long = docs.select(group.alias("grp"), F.explode(F.array(*hit)).alias("m"))
     return long.groupBy(F.col("m.pattern").alias("pattern"), "grp").agg(F.count_if("m.hit").alias("n"), F.avg(F.col("m.hit").cast("double")).alias("share"))
 

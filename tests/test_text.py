@@ -87,3 +87,14 @@ def test_ratios_equal_the_plain_definition(spark):
         assert common_length(a, b) == plain(a, b)
     assert round(ratio("email", "e mail"), 1) == 90.9 and ratio("", "") == 100
     assert value(spark, token_sort_ratio(F.col("a"), F.col("b")), a="review fake", b="fake  review") == 100
+
+
+def test_a_look_ahead_changes_no_match():
+    import re
+
+    from quillgraph.operators.explore import NOISE, THEMES, led
+
+    assert all(led(p).startswith("(?=[") for p in THEMES.values()) and led("a?b") == "a?b" and led(NOISE["phone"]) == NOISE["phone"]
+    texts = ["They REMOVED it", "taken down", "my  business", "Check the company", "before you buy", "user-friendly", "nothing here", "", "Our customers", "harassed"]
+    for p in THEMES.values():
+        assert [bool(re.search(f"(?i){led(p)}", t)) for t in texts] == [bool(re.search(f"(?i){p}", t)) for t in texts]
